@@ -34,7 +34,7 @@ class Settings(NamedTuple):
     steps: int = 4
     least: int = 100
     #: Of the vector's parts in order: standard deviations that any group is granted.
-    floors: tuple[float, ...] = (0.10, 0.06, 0.06, 0.08)
+    floors: tuple[float, ...] = (0.10, 0.05, 0.08, 0.12)
     #: The chi-square quantile of four degrees of freedom at 1 - 1e-6.
     limit: float = 33.4
     #: Covariance of the inner three quarters of a normal sample of four dimensions, the whole one's being 1.
