@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -31,12 +32,14 @@ RAW = frozenset("script style noscript template textarea title iframe noembed no
 DROPPED = frozenset("head nav aside footer form button select option optgroup datalist dialog menu menuitem object canvas svg math audio video applet map".split()) | RAW
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HINTS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adbox adslot banner promo promotion sponsor sponsored sponsors sidebar sidebars aside rail nav navbar navigation menu menus submenu breadcrumb breadcrumbs "
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adbox adslot banner promo promotion sponsor sponsored sponsors sidebar sidebars aside rail nav navbar navigation menu menus submenu breadcrumb breadcrumbs "
     "footer masthead comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup popup modal overlay share sharing social related "
     "recommended recommendations widget widgets login search pagination pager paging toolbar topbar skip copyright legal disclaimer tags".split()
 )
 HEADER_HINTS = frozenset("header head topbar".split())
-ARTICLE_HINTS = frozenset("article post entry content story main body text".split())
+ARTICLE_HINTS = frozenset("article post entry content story main body text hentry".split())
+#: has-sidebar, no-comments: such a class tells of something else than the element.
+NEGATIONS = frozenset("has no not with without is".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar note status toolbar".split())
 NEVER_HINTED = frozenset("html body article main".split())
 #: An opening tag of the first kind ends open elements of the second, up to an element of the third.
@@ -72,18 +75,31 @@ def is_boilerplate(name: str, rest: str, inside_article: bool) -> bool:
         return True
     if given.get("role", "").lower() in ROLES or given.get("aria-modal", "").lower() == "true":
         return True
-    words = {w.lower() for key in ("class", "id") for w in WORDS.findall(given.get(key, ""))}
-    if words & HINTS:
+    names = [n for key in ("class", "id") for n in given.get(key, "").split()]
+    whole = {n.lower() for n in names}
+    if whole & HINTS:
         return True
-    return bool(words & HEADER_HINTS) and not inside_article and not words & ARTICLE_HINTS
+    if whole & ARTICLE_HINTS:
+        return False
+    for compound in names:
+        words = [w.lower() for w in WORDS.findall(compound)]
+        if words and words[0] not in NEGATIONS and (HINTS.intersection(words) or (not inside_article and HEADER_HINTS.intersection(words) and not ARTICLE_HINTS.intersection(words))):
+            return True
+    return False
 
 
-def parse(html: str) -> Node:
-    """The tree of a page without its boilerplate elements."""
+def parse(html: str, hints: bool = True) -> Node:
+    """The tree of a page without its boilerplate elements; without hints only element names tell them."""
     root = Node("html")
     stack, skipped = [root], 0  # skipped: open elements inside a dropped one, itself included
     skip_names: list[str] = []
+    opened: Counter[str] = Counter()  # names on the stack
     at, end = 0, len(html)
+
+    def shut(i: int) -> None:
+        opened.subtract(n.name for n in stack[i:])
+        del stack[i:]
+
     while at < end:
         match = MARKUP.search(html, at)
         text = html[at : match.start()] if match else html[at:]
@@ -104,17 +120,18 @@ def parse(html: str) -> Node:
                     while skip_names.pop() != name:
                         pass
                     skipped = len(skip_names)
-                elif name in ("body", "html") or name == "article" and any(n.name == "article" for n in stack):
+                elif name in ("body", "html") or name == "article" and opened[name]:
                     skip_names.clear()
                     skipped = 0
                 if skipped or name not in ("article",):
                     continue
-            if any(n.name == name for n in stack[1:]):
-                if name in INLINE and any(n.name not in INLINE for n in stack[next(i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name) :]):
-                    continue  # a stray end of an inline element outside its block
-                while stack[-1].name != name:
-                    stack.pop()
-                stack.pop()
+            if opened[name] > 0:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].name == name:
+                        shut(i)
+                        break
+                    if name in INLINE and stack[i].name not in INLINE:
+                        break  # a stray end of an inline element outside its block
             continue
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
@@ -131,7 +148,7 @@ def parse(html: str) -> Node:
         if name in PARAGRAPH_ENDERS:  # ends an open paragraph, with the inline elements in it
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == "p":
-                    del stack[i:]
+                    shut(i)
                     break
                 if stack[i].name not in INLINE:
                     break
@@ -141,10 +158,10 @@ def parse(html: str) -> Node:
                 if stack[i].name in within:
                     break
                 if stack[i].name in ended:
-                    del stack[i:]
+                    shut(i)
                     break
         inside = stack[-1].inside_article or stack[-1].name in ("article", "main")
-        if is_boilerplate(name, rest, inside):
+        if is_boilerplate(name, rest if hints else "", inside):
             if not empty:
                 skip_names, skipped = [name], 1
             continue
@@ -152,6 +169,7 @@ def parse(html: str) -> Node:
         stack[-1].children.append(node)
         if not empty:
             stack.append(node)
+            opened[name] += 1
     return root
 
 
@@ -234,6 +252,19 @@ def chosen(root: Node) -> set[int]:
                 later = True
             elif later and child.link_chars * 2 < child.chars and any(n.name in HEADINGS for n in measured(child)):
                 picked.add(id(child))
+    # Parts of one frame below the page's body: what stands among them belongs to the text as well, but for lists of links.
+    place = {id(n): k for k, n in enumerate(path)}
+    widest, taken = 0, set()  # the frame's place on the path, and the subtrees below it that hold something picked
+    for found in picked:
+        while found not in place:
+            taken.add(found)
+            found = id(parent[found])
+        widest = max(widest, place[found])
+    frame = path[widest]
+    if widest and frame is not root:
+        for child in frame.children:
+            if isinstance(child, Node) and child.name not in INLINE and child.link_chars * 2 < child.chars and id(child) not in taken and id(child) not in on_path:
+                picked.add(id(child))
     return picked
 
 
@@ -279,6 +310,8 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     root = parse(html)
+    if not any(n.chars for n in measure(root)):
+        root = parse(html, hints=False)  # the page's own frame bears a name of the kind
     return " ".join(blocks(root, chosen(root)))
 
 
