@@ -169,5 +169,53 @@ SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, coalesce(c.class, n.node, d.doc
 FROM sets d LEFT JOIN nodes n ON len(d.s) > 0 AND md5(array_to_string(list_sort(d.s), ' ')) = n.digest LEFT JOIN named c ON n.node = c.node"""
 
 
+def op8_sql(settings: robust_outliers.Settings = robust_outliers.Settings()) -> str:
+    """The whole estimate step by step: a CTE a concentration step."""
+    parts = range(len(robust_outliers.PARTS))
+    pairs = [(i, j) for i in parts for j in range(i + 1)]
+    floor2 = [f ** 2 for f in settings.floors]
+    factors = []
+    for i, j in pairs:
+        rest = f"s{i}{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+        factors.append(f"sqrt(greatest({rest}, 1e-9)) AS l{i}{i}" if i == j else f"({rest}) / l{j}{j} AS l{i}{j}")
+    zs = ", ".join(f"(x{i} - m{i}" + "".join(f" - l{i}{j} * z{j}" for j in range(i)) + f") / l{i}{i} AS z{i}" for i in parts)
+    far = " + ".join(f"z{i} * z{i}" for i in parts)
+    factored = lambda name: f"(SELECT *, {', '.join(factors)} FROM {name})"
+    xs, ms = ", ".join(f"x{i}" for i in parts), ", ".join(f"m{i}" for i in parts)
+    steps = [
+        f"medians AS MATERIALIZED (SELECT pool, {', '.join(f'quantile_disc(x{i}, 0.5) AS m{i}' for i in parts)} FROM vectors GROUP BY pool)",
+        f"spreads AS (SELECT v.pool, {', '.join(f'quantile_disc(abs(x{i} - m{i}), 0.5) AS d{i}' for i in parts)} FROM vectors v JOIN medians m ON v.pool = m.pool GROUP BY v.pool)",
+        f"step0 AS MATERIALIZED (SELECT m.pool, {ms}, {', '.join(f'pow(1.4826 * d{i}, 2) + {floor2[i]!r}::DOUBLE AS s{i}{j}' if i == j else f'0.0::DOUBLE AS s{i}{j}' for i, j in pairs)} FROM medians m JOIN spreads s ON m.pool = s.pool)",
+    ]
+    for k in range(1, settings.steps + 1):
+        scatter = ", ".join(f"{settings.consistency!r}::DOUBLE * (t{i}{j} / n - m{i} * m{j})" + (f" + {floor2[i]!r}::DOUBLE" if i == j else "") + f" AS s{i}{j}" for i, j in pairs)
+        steps += [
+            f"near{k} AS (SELECT v.pool, {xs}, {zs}, floor(16 * log2({far} + 1e-3)) AS bin FROM vectors v JOIN {factored(f'step{k - 1}')} e ON v.pool = e.pool)",
+            f"bins{k} AS (SELECT pool, bin, count(*) AS n, {', '.join(f'sum(x{i}) AS t{i}' for i in parts)}, {', '.join(f'sum(x{i} * x{j}) AS t{i}{j}' for i, j in pairs)} FROM near{k} GROUP BY pool, bin)",
+            f"inner{k} AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY pool ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY pool) AS whole FROM bins{k})",
+            f"sums{k} AS (SELECT pool, sum(n)::DOUBLE AS n, {', '.join(f'sum(t{i}) AS t{i}' for i in parts)}, {', '.join(f'sum(t{i}{j}) AS t{i}{j}' for i, j in pairs)} FROM inner{k} WHERE before < {settings.share} * whole GROUP BY pool)",
+            f"step{k} AS MATERIALIZED (SELECT pool, {', '.join(f't{i} / n AS m{i}' for i in parts)}, {scatter} FROM sums{k})",
+        ]
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(lang, chr(1)) AS lang_key, coalesce(source, chr(1)) AS source_key, coalesce(text, '') AS t FROM documents),
+split AS MATERIALIZED (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines FROM texts),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM split),
+often AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows),
+nexts AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i AS gap FROM often WHERE n > 1),
+repeats AS (SELECT doc_id, sum(least(3, coalesce(gap, 3)))::BIGINT AS n_repeat_words FROM nexts GROUP BY doc_id),
+counts AS (SELECT s.doc_id, lang_key, source_key, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM split s LEFT JOIN repeats r ON s.doc_id = r.doc_id),
+rows AS MATERIALIZED (SELECT *, n_words < {settings.fewest_words} OR 100 * n_repeat_words > {settings.repeat_percent} * n_words AS base_failed, ln(greatest(word_chars::DOUBLE / greatest(n_words, 1), 0.1)) AS x0, sqrt(n_symbols::DOUBLE / greatest(word_chars, 1)) AS x1,
+  sqrt(n_dup_lines::DOUBLE / greatest(n_words, 1)) AS x2, sqrt(n_repeat_words::DOUBLE / greatest(n_words, 1)) AS x3 FROM counts),
+sizes AS (SELECT lang_key, source_key, count(*) FILTER (NOT base_failed) AS n FROM rows GROUP BY ALL),
+small AS (SELECT lang_key, sum(n) AS pooled FROM sizes WHERE n < {settings.least} GROUP BY lang_key),
+keys AS (SELECT z.lang_key, z.source_key, CASE WHEN z.n >= {settings.least} THEN 'group ' || z.lang_key || ' ' || z.source_key WHEN s.pooled >= {settings.least} THEN 'language ' || z.lang_key ELSE 'all' END AS pool FROM sizes z LEFT JOIN small s ON z.lang_key = s.lang_key),
+pooled AS MATERIALIZED (SELECT r.*, k.pool FROM rows r JOIN keys k ON r.lang_key = k.lang_key AND r.source_key = k.source_key),
+vectors AS MATERIALIZED (SELECT pool, {xs} FROM pooled WHERE NOT base_failed),
+{", ".join(steps)},
+judged AS (SELECT p.*, {zs}, {far} AS far FROM pooled p LEFT JOIN {factored(f"step{settings.steps}")} e ON p.pool = e.pool)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(far <= {settings.limit}, true) AS kept FROM judged"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_members": op1_sql(), "op4_url_trust": op4_sql(), "op7_preference_chat": OP7_SQL, "op9_bbit_minhash": OP9_SQL}
+    return {"op1_warc_members": op1_sql(), "op4_url_trust": op4_sql(), "op7_preference_chat": OP7_SQL, "op8_mcd_quality": op8_sql(), "op9_bbit_minhash": OP9_SQL}
