@@ -90,8 +90,8 @@ def has_letter(words: pa.Array) -> np.ndarray:
 def emissions(words: pa.Array, model_weights: np.ndarray, lexicon: np.ndarray, settings: Settings) -> np.ndarray:
     """Scores of distinct words by label; nothing for words without a letter."""
     out = np.zeros((len(words), model_weights.shape[1]), np.float32)
-    for a in range(0, len(words), 20_000):
-        part = words.slice(a, 20_000)
+    for a in range(0, len(words), 8_000):
+        part = words.slice(a, 8_000)
         grams, ends, hashes = windows(part, settings)
         summed = np.add.reduceat(model_weights[grams], ends[:-1], axis=0)
         summed /= np.maximum(1, np.diff(ends))[:, None] ** 0.5
@@ -260,7 +260,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.labels, UNKNOWN], object)
-        for part in slices(batches, 1, 6 << 20):
+        for part in slices(batches, 1, 1 << 20):
             rows, _, marginals, lettered, _ = labelled(part.column(1), model)
             owner = np.repeat(np.arange(len(rows) - 1), np.diff(rows))[lettered]
             sums = np.stack([np.bincount(owner, marginals[lettered, c], len(rows) - 1) for c in range(marginals.shape[1])], axis=1)

@@ -20,7 +20,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head>
         (f"<article><h1>Head &amp; line</h1><p>{PROSE}</p><p>{PROSE}</p></article>", f"Head & line {PROSE}{PROSE}".strip()),
         (f"<div class=x><div class=y><h2>Title</h2><p>{PROSE}<p>{PROSE}</div></div>", f"Title {PROSE}{PROSE}".strip()),
         (f"<main><section><p>{PROSE}</p><p>{PROSE}</p></section><section><p>{PROSE}</p></section></main>", (PROSE * 3).strip()),
-        (f"<div>one<b>two</b> <i>three</i>\n\t four&nbsp;five<br>{PROSE}</div>", f"onetwo three four five{PROSE}".strip()),
+        (f"<div>one<b>two</b> <i>three</i>\n\t four&nbsp;five<br>{PROSE}</div>", f"onetwo three four five {PROSE}".strip()),
         (f"<article><!-- no --><p><b>{PROSE}<br><p>{PROSE}</article>", (PROSE * 2).strip()),
     ],
 )
