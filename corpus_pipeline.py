@@ -16,8 +16,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Keeps what is in a known language. The model is fitted on the documents given, held-out ones aside."""
     model = langid.train(docs.where(~queries.held_out(F.col("doc_id"))))
     # Whole rows travel through the prediction, so no row is joined or shuffled.
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").alias("body"))
-    found = langid.predict(rows, model, id_col="row", text_col="body")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    found = langid.predict(rows, model, id_col="row", inside=True)
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 

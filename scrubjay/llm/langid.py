@@ -253,14 +253,18 @@ def labelled(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.
     return rows, codes, marginals, has_letter(words)[codes] if len(words) else np.array([], bool), words
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, `lang_pred`, `score` of every row's whole text."""
-    docs = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("body"))
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", inside: bool = False) -> DataFrame:
+    """id_col, `lang_pred`, `score` of every row's whole text. inside: text_col is a field of the struct id_col, so no text goes twice."""
+    docs = docs.select(F.col(id_col).alias("row_id"), *([] if inside else [F.col(text_col).alias("body")]))
     id_type = dict(docs.dtypes)["row_id"]
 
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(0).field(text_col)], names=["row_id", "body"]) if inside else batch
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.labels, UNKNOWN], object)
-        for part in slices(batches, 1, 1 << 20):
+        for part in slices(paired(batches), 1, 1 << 20):
             rows, _, marginals, lettered, _ = labelled(part.column(1), model)
             owner = np.repeat(np.arange(len(rows) - 1), np.diff(rows))[lettered]
             sums = np.stack([np.bincount(owner, marginals[lettered, c], len(rows) - 1) for c in range(marginals.shape[1])], axis=1)
