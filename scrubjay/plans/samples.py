@@ -34,7 +34,7 @@ def exif(i: int) -> bytes:
     """A TIFF block: orientation always; make and artist, location, a serial number and a thumbnail by the id."""
     main = [(0x0112, 3, 1, b"\x06\0"), (0x8769, 4, 1, b"\0\0\0\0")]
     if i % 2 == 0:
-        main += [(0x010F, 2, 5, b"ACME\0"), (0x013B, 2, 6, b"Marco\0")]
+        main += [(0x010F, 2, 5, b"Cams\0"), (0x013B, 2, 6, b"Annie\0")]
     if i % 3 == 0:
         main.append((0x8825, 4, 1, b"\0\0\0\0"))
     sub = [(0x829A, 5, 1, struct.pack("<II", 1, 60))]
@@ -58,7 +58,7 @@ def packet(i: int, remote: str | None = None) -> bytes:
     spaces = " ".join(f'xmlns:{p}="{NAMESPACES[p]}"' for p in ("rdf", "dc", "dcterms", "xmp", "exif"))
     given = ' xmp:Rating="5"' + (' xmp:CreatorTool="Tool"' if i % 2 == 0 else "") + (' exif:GPSLatitude="52,1N"' if i % 3 == 0 else "")
     given += f' dcterms:provenance="{remote}"' if remote else ""
-    inner = "<dc:creator>Marco</dc:creator>" if i % 4 == 0 else ""
+    inner = "<dc:creator>Annie</dc:creator>" if i % 4 == 0 else ""
     body = f'<x:xmpmeta xmlns:x="{NAMESPACES["x"]}"><rdf:RDF {spaces}><rdf:Description{given}>{inner}</rdf:Description></rdf:RDF></x:xmpmeta>'
     return b"<?xpacket begin='\xef\xbb\xbf' id='W5M0'?>" + body.encode() + b"<?xpacket end='w'?>"
 
@@ -73,14 +73,14 @@ def jpeg(i: int, packet_: bytes | None = None, store: bool = False) -> bytes:
     parts += [segment(0xE2, ICC_HEAD + b"profile")]
     parts += [segment(0xEB, box())] if store else []
     parts += [segment(0xED, PHOTOSHOP_HEAD + b"8BIM")] if i % 7 == 0 else []
-    parts += [segment(0xFE, b"made by Marco")] if i % 2 == 0 else []
+    parts += [segment(0xFE, b"made by Annie")] if i % 2 == 0 else []
     return b"".join(parts) + segment(0xDA, b"scan") + b"\x12\xff\x00\x34" + str(i).encode() + b"\xff\xd9"
 
 
 def png(i: int) -> bytes:
     rows = zlib.compress(b"\0" + bytes([i % 256]))
     chunks = [(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)), (b"tEXt", b"Title\0kept")]
-    chunks += [(b"tEXt", b"Author\0Marco")] if i % 2 == 0 else []
+    chunks += [(b"tEXt", b"Author\0Annie")] if i % 2 == 0 else []
     chunks += [(b"tIME", bytes(7))] if i % 3 == 0 else []
     text = packet(i)
     chunks += [(b"iTXt", PNG_XMP + (b"\0\1\0\0\0" + zlib.compress(text) if i % 2 else b"\0\0\0\0\0" + text)), (b"eXIf", exif(i)), (b"IDAT", rows), (b"IEND", b"")]
@@ -96,10 +96,10 @@ def docx(i: int) -> bytes:
     """The parts of a document that may tell who wrote it, by the id."""
     entries = {
         "[Content_Types].xml": "<Types/>",
-        "docProps/core.xml": part("cp", "coreProperties", ("<dc:creator>Marco</dc:creator>" if i % 2 == 0 else "") + "<dc:title>T</dc:title><dcterms:created>2024</dcterms:created>"),
-        "docProps/app.xml": part("ep", "Properties", ("<ep:Company>Initech</ep:Company>" if i % 3 == 0 else "") + "<ep:Pages>1</ep:Pages>"),
+        "docProps/core.xml": part("cp", "coreProperties", ("<dc:creator>Annie</dc:creator>" if i % 2 == 0 else "") + "<dc:title>T</dc:title><dcterms:created>2024</dcterms:created>"),
+        "docProps/app.xml": part("ep", "Properties", ("<ep:Company>Firmco</ep:Company>" if i % 3 == 0 else "") + "<ep:Pages>1</ep:Pages>"),
         "word/settings.xml": part("w", "settings", ("<w:rsids><w:rsidRoot/><w:rsid/></w:rsids>" if i % 4 == 0 else "") + "<w:zoom/>"),
-        "word/document.xml": part("w", "document", '<w:ins w:author="Marco">x</w:ins>' if i % 5 == 0 else "<w:p/>"),
+        "word/document.xml": part("w", "document", '<w:ins w:author="Annie">x</w:ins>' if i % 5 == 0 else "<w:p/>"),
         "word/media/a.bin": f"data {i}",
     }
     out = io.BytesIO()

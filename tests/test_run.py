@@ -58,7 +58,7 @@ def test_scrub_writes_only_what_may_be(spark, tmp_path):
     rows = by_name(run.scrub(spark, [str(src)], recursive=True, output_dir=str(out)), src)
     assert tree(src) == before
     assert set(tree(out)) == {"photo.jpg", "doc.docx", "_hidden.tex", "a/intro.tex", "b/intro.tex"}
-    assert b"Marco" not in tree(out)["photo.jpg"] and rows["photo.jpg"].written == str(out / "photo.jpg") and rows["signed.jpg"].written is None
+    assert b"Annie" not in tree(out)["photo.jpg"] and rows["photo.jpg"].written == str(out / "photo.jpg") and rows["signed.jpg"].written is None
 
 
 def test_default_names_collisions_and_in_place(spark, tmp_path):
