@@ -3,8 +3,10 @@
 Each word is a node with a label, the languages seen in training. A node's score comes from its affixes, its byte n-grams
 and whether it is in a lexicon of frequent training words; an edge's from learned transitions. Training maximises the
 likelihood of sequences that also switch language in the middle, spliced from sentences of different languages, so the
-transitions know both staying and switching. Forward-backward gives every word its marginals; a document's language is
-that with the largest sum over its words, its score that sum's share. Sequences are sentences, cut at `longest` words.
+transitions know both staying and switching. Forward-backward gives every word its marginals. A document's language is
+that with the largest share of its words, the first and the last few counting more by a weight learned with the rest: a long
+passage in another language does not change what language a text is in. Its score is the share. Sequences are sentences, cut at
+`longest` words.
 
 The model is fitted on a bounded sample (`sample_docs` documents a language, `sample_words` words of them): everything else covers
 all rows. The sample is drawn by hash with a column-pruned aggregation, so its size does not grow with the input.
@@ -28,6 +30,9 @@ from pyspark.sql import functions as F
 from .shared import slices, string_parts, words_of
 
 UNKNOWN = "und"
+#: How many words at either end, and the weights tried for them.
+EDGE_WORDS = 2
+EDGES = (0.0, 0.25, 0.5, 1.0, 2.0)
 
 
 class Settings(NamedTuple):
@@ -49,6 +54,7 @@ class Model(NamedTuple):
     lexicon: np.ndarray  # sorted hashes of its words
     transitions: np.ndarray  # log scale, from row to column
     settings: Settings
+    edge: float = 0.0  # what a text's first and last words count beside the share of all its words
 
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -220,7 +226,10 @@ def fit(texts: list[str], langs: list[str], settings: Settings = Settings()) ->
             m += 0.1 * (grad - m)
             v += 0.02 * (grad * grad - v)
             params[i] += settings.rate * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.98**epoch)) + 1e-8)
-    return Model(labels, params[0].astype(np.float32), lexicon, params[1].astype(np.float32), settings)
+    model = Model(labels, params[0].astype(np.float32), lexicon, params[1].astype(np.float32), settings)
+    _, _, marginals, of_letters, _ = labelled(pa.array(texts, pa.string()), model)
+    right = [np.count_nonzero(document_labels(rows, marginals, of_letters, w)[0] == doc_label) for w in EDGES]
+    return model._replace(edge=EDGES[int(np.argmax(right))])
 
 
 def train(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -253,6 +262,24 @@ def labelled(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.
     return rows, codes, marginals, has_letter(words)[codes] if len(words) else np.array([], bool), words
 
 
+def document_labels(rows: np.ndarray, marginals: np.ndarray, lettered: np.ndarray, edge: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(label, its share, words with letters) of each text, from the marginals of its words."""
+    n = len(rows) - 1
+    place = np.flatnonzero(lettered)
+    owner = np.repeat(np.arange(n), np.diff(rows))[place]
+    own = marginals[place]
+    counts = np.bincount(owner, minlength=n)
+    share = np.stack([np.bincount(owner, own[:, c], n) for c in range(marginals.shape[1])], axis=1) / np.maximum(1, counts)[:, None]
+    total = share.copy()
+    if edge and len(place):
+        first, last = np.searchsorted(owner, np.arange(n)), np.searchsorted(owner, np.arange(n), side="right") - 1
+        full = counts > 0
+        for k in range(EDGE_WORDS):
+            total[full] += edge / EDGE_WORDS * (own[np.minimum(first + k, last)[full]] + own[np.maximum(last - k, first)[full]])
+    best = total.argmax(axis=1)
+    return best, np.minimum(1.0, share[np.arange(n), best]), counts
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", inside: bool = False) -> DataFrame:
     """id_col, `lang_pred`, `score` of every row's whole text. inside: text_col is a field of the struct id_col, so no text goes twice."""
     docs = docs.select(F.col(id_col).alias("row_id"), *([] if inside else [F.col(text_col).alias("body")]))
@@ -266,11 +293,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         names = np.array([*model.labels, UNKNOWN], object)
         for part in slices(paired(batches), 1, 1 << 20):
             rows, _, marginals, lettered, _ = labelled(part.column(1), model)
-            owner = np.repeat(np.arange(len(rows) - 1), np.diff(rows))[lettered]
-            sums = np.stack([np.bincount(owner, marginals[lettered, c], len(rows) - 1) for c in range(marginals.shape[1])], axis=1)
-            counts = np.bincount(owner, minlength=len(rows) - 1)
-            best = sums.argmax(axis=1)
-            score = np.minimum(1.0, sums[np.arange(len(best)), best] / np.maximum(1, counts))
+            best, score, counts = document_labels(rows, marginals, lettered, model.edge)
             none = (counts == 0) | (not model.labels)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[np.where(none, len(model.labels), best)], pa.string()), pa.array(np.where(none, 0.0, score))], names=["row_id", "lang_pred", "score"])
 

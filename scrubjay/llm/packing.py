@@ -15,6 +15,7 @@ empty result.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .shared import slices, string_parts, words_of
 
-KEPT = 300_000
+KEPT = 150_000
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -112,11 +113,11 @@ class WordIds:
         self.tokenizer, self.letters, self.known = tokenizer_of(path), byte_letters(), {}
         self.model = self.tokenizer.model
 
-    def plain(self, letters: str) -> np.ndarray:
+    def plain(self, letters: str) -> bytes:
         """Ids of lower-case Latin letters, or of ASCII punctuation: one pre-token each."""
         if not letters.isascii():
             letters = "".join([self.letters[b] for b in letters.encode()])
-        return np.array([t.id for t in self.model.tokenize(letters)], "<u4")
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets) of distinct words."""
@@ -152,12 +153,12 @@ class WordIds:
         odd = np.flatnonzero(~simple)
         if len(odd):
             texts = words.take(pa.array(odd)).to_pylist()
-            table += [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            table += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             codes = codes.copy()
             codes[2 * odd], codes[2 * odd + 1] = np.arange(len(table) - len(odd), len(table)), len(table)
-        table = [t if t is not None else () for t in table] + [()]
-        sizes = np.fromiter(map(len, table), np.int64, len(table))
-        flat = np.concatenate([t for t in table if len(t)]) if sizes.any() else np.array([], "<u4")
+        table = [t or b"" for t in table] + [b""]
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        flat = np.frombuffer(b"".join(table), "<u4")
         ids, offsets = gathered(flat, np.concatenate([[0], np.cumsum(sizes)]), codes)
         return ids, offsets[::2]
 
@@ -179,7 +180,7 @@ def tokenised(docs: DataFrame, settings: Settings, id_col: str, text_col: str) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_ids = WordIds(settings.tokenizer_path)
         end = np.array([settings.end_id], "<u4").tobytes()
-        for part in slices(batches, 2, 16 << 20):
+        for part in slices(batches, 2, 6 << 20):
             rows, codes, words = words_of(part.column(2))
             flat, offsets = word_ids(words)
             ids, ends = gathered(flat, offsets, codes)

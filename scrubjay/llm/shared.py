@@ -65,9 +65,21 @@ def publish(uri: str, data: bytes) -> None:
     system.move(part, path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def released() -> None:
+    """Give memory that is free in this worker back to the system: workers stay between tasks and share a machine."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about `limit` bytes of the given column, one row at least."""
     for batch in batches:
+        released()
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -77,6 +89,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 8 << 20)
             to = max(at + 1, int(np.searchsorted(total, base + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    released()
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
