@@ -170,7 +170,7 @@ def metadata(places: DataFrame) -> DataFrame:
 
 
 def samples(places: DataFrame) -> DataFrame:
-    """digest, payload, media: the samples read back and the stored form, each checked against its address."""
+    """The place (digest, shard, offset, length) and payload: the samples read back; the stored form is checked against its address."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
@@ -181,28 +181,28 @@ def samples(places: DataFrame) -> DataFrame:
                 data = reader.read(s, o, n)
                 if hashlib.sha256(data).hexdigest() != digest:
                     raise ValueError(f"{s} at {o}: the member does not match its address")
-                out.append((digest, from_png(data), data))
-                held += len(out[-1][1]) + n
+                out.append((digest, s, o, n, from_png(data)))
+                held += len(out[-1][4]) + n
                 if held > 8 << 20 or k == len(shards) - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out]), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.binary())], names=["digest", "payload", "media"])
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()))], names=["digest", "shard", "offset", "length", "payload"])
                     out, held = [], 0
 
-    return by_shard(places).mapInArrow(run, "digest string, payload binary, media binary")
+    return by_shard(places).mapInArrow(run, "digest string, shard string, offset long, length long, payload binary")
 
 
 def features(places: DataFrame) -> DataFrame:
-    """digest and figures of each distinct payload: sizes, digests and a histogram feature of the samples."""
+    """The place of each distinct payload, with its size, digests and first samples."""
     seen = samples(places)
     tail = F.substring(F.col("payload"), -32, 32)
-    return seen.select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.hex(F.substring(F.col("payload"), 1, 8)).alias("first_samples"))
+    return seen.select("digest", "shard", "offset", "length", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"), F.hex(F.substring(F.col("payload"), 1, 8)).alias("first_samples"))
 
 
 def media_columns(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's place and metadata, and the features of what was read back."""
     manifest = stored(store(docs, f"{folder}/shards", id_col, text_col), f"{folder}/manifest")
     places = stored(canonical(manifest), f"{folder}/places")
-    known = stored(features(places).join(metadata(places), "digest"), f"{folder}/features").withColumnRenamed("digest", "of")
-    place = places.select(F.col("digest").alias("of"), "shard", "offset", "length")
-    facts = known.join(place, "of")
+    facts = stored(features(places).join(metadata(places), "digest"), f"{folder}/features").withColumnRenamed("digest", "of")
     rows = manifest.select("row_id", "n_bytes", "digest")
-    return rows.join(facts, F.col("digest") == F.col("of")).drop("of").withColumnRenamed("row_id", id_col)
+    # The stored form's address is its digest, and its length the member's: both were checked when it was read.
+    out = rows.join(facts, F.col("digest") == F.col("of")).withColumns({"media_bytes": F.col("length"), "media_sha256": F.col("digest")})
+    return out.drop("of").withColumnRenamed("row_id", id_col)
