@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from scrubjay.llm import langid, minhash, packing, queries, robust_outliers
 from scrubjay.llm.shared import scratch, stored
 
-#: A text whose best language has less of it than this is in no known language.
-LEAST_SCORE = 0.3
+#: A text of whose words less than this are in its language is in none. Texts with a long passage in another language stay.
+LEAST_SCORE = 0.02
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
