@@ -64,6 +64,13 @@ def t_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", rules.clean(F.concat("text", F.lit(COMBINING)), Options(normalize="nfc")).alias("clean"))
 
 
+@registered(oracles.cleaned_sql() + f" SELECT doc_id, nfc_normalize(clean || '{COMBINING}') AS clean FROM cleaned")
+def t_nfc_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """t_nfc over all rows. The other rules' queries over all rows are t_scrub_default: their options are the same."""
+    rows = recipes.noisy(spark, sf_dir)
+    return rows.select("doc_id", rules.clean(F.concat("text", F.lit(COMBINING)), Options(normalize="nfc")).alias("clean"))
+
+
 @registered()
 def t_other_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = recipes.noisy(spark, sf_dir)
@@ -135,7 +142,16 @@ def f_clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def t_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code points of the texts that lie in a joining script or are pictographs."""
-    rows = recipes.noisy(spark, sf_dir).where("doc_id % 16 IN (3, 4, 5, 6, 8)")
+    return in_ranges(spark, recipes.noisy(spark, sf_dir).where("doc_id % 16 IN (3, 4, 5, 6, 8)"))
+
+
+@registered()
+def t_in_ranges_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """t_in_ranges over all rows: its SQL would be slow, so brute force tells the result."""
+    return in_ranges(spark, recipes.noisy(spark, sf_dir))
+
+
+def in_ranges(spark: SparkSession, rows: DataFrame) -> DataFrame:
     points = rows.select(F.explode(F.split("text", "")).alias("ch")).groupBy(F.ascii("ch").alias("codepoint")).agg(F.count(F.lit(1)).alias("n"))
     return ranges.members(points, ranges.context_table(spark))
 

@@ -53,3 +53,21 @@ def test_the_rest_stands_without_the_training_data_operators(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); print(len(q), sorted(k for k in q if k.startswith('op') or k == 'pipeline'), len(e.oracle_sql()))"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin"})
     assert done.stdout.split() == [str(len(own.QUERIES)), "[]", str(len(own.SQL))], done.stderr
+
+
+def test_whole_tables_beside_the_narrowed_queries(spark, sf_dir):
+    """What t_nfc and t_in_ranges leave out by id: all rows, by brute force."""
+    import unicodedata
+
+    from scrubjay.functions import chars
+
+    texts = {r.doc_id: r.text for r in recipes.noisy(spark, sf_dir).collect()}
+    everything = {r.doc_id: r.clean for r in own.QUERIES["t_scrub_default"](spark, sf_dir).collect()}
+    for name in ("t_tag_sequences", "t_joiners", "t_bom", "t_invisibles", "t_bidi"):
+        rows = own.QUERIES[name](spark, sf_dir).collect()
+        assert everything.keys() == texts.keys() and all(everything[r.doc_id] == r.clean for r in rows)
+    got = {r.doc_id: r.clean for r in entry.queries()["t_nfc_whole"](spark, sf_dir).collect()}
+    assert got == {i: unicodedata.normalize("NFC", t + own.COMBINING) for i, t in everything.items()}
+    inside = {p for a, b in chars.context_ranges() for p in range(a, b + 1)}
+    want = Counter(p for t in texts.values() for p in map(ord, t) if p in inside)
+    assert {r.codepoint: r.n for r in entry.queries()["t_in_ranges_whole"](spark, sf_dir).collect()} == want
