@@ -8,17 +8,14 @@ from pyspark.sql import functions as F
 from scrubjay.llm import langid, minhash, packing, queries, robust_outliers
 from scrubjay.llm.shared import scratch, stored
 
-#: A text of whose words less than this are in its language is in none. Texts with a long passage in another language stay.
-LEAST_SCORE = 0.02
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what is in a known language. The model is fitted on the documents given, held-out ones aside."""
     model = langid.train(docs.where(~queries.held_out(F.col("doc_id"))))
     # Whole rows travel through the prediction, so no row is joined or shuffled.
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    found = langid.predict(rows, model, id_col="row", inside=True)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    found = langid.predict(rows, model, id_col="row", inside=True, judge=True)
+    return found.where("known").select("row.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,10 @@ that with the largest share of its words, the first and the last few counting mo
 passage in another language does not change what language a text is in. Its score is the share. Sequences are sentences, cut at
 `longest` words.
 
+A text's shares add up to 1 whatever it is, so they cannot tell that it is in none of the languages. Its familiarity can: the share of its
+words that are mostly made of trigrams that two training texts have. `known` says whether it is at least half of what is usual among the
+training texts of the label found, each judged by the others. A label with one training text has nothing to judge by and rejects none.
+
 The model is fitted on a bounded sample (`sample_docs` documents a language, `sample_words` words of them): everything else covers
 all rows. The sample is drawn by hash with a column-pruned aggregation, so its size does not grow with the input.
 
@@ -33,6 +37,9 @@ UNKNOWN = "und"
 #: How many words at either end, and the weights tried for them.
 EDGE_WORDS = 2
 EDGES = (0.0, 0.25, 0.5, 1.0, 2.0)
+#: The share of a word's trigrams that makes it familiar, and of the usual familiarity that makes a text known.
+FAMILIAR = 0.75
+KNOWN = 0.5
 
 
 class Settings(NamedTuple):
@@ -55,6 +62,8 @@ class Model(NamedTuple):
     transitions: np.ndarray  # log scale, from row to column
     settings: Settings
     edge: float = 0.0  # what a text's first and last words count beside the share of all its words
+    seen: np.ndarray = np.array([], np.uint64)  # sorted trigrams that at least two training texts have
+    usual: np.ndarray = np.zeros(1)  # by label, the median familiarity of its training texts
 
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -93,6 +102,42 @@ def has_letter(words: pa.Array) -> np.ndarray:
     return pc.match_substring_regex(words, r"\p{L}").to_numpy(zero_copy_only=False)
 
 
+def trigrams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(trigrams of each word, offsets of each word's) of distinct words: of their letters alone, lower-cased and framed."""
+    bare = pc.utf8_lower(pc.replace_substring_regex(words, r"[^\p{L}\p{M}]+", ""))
+    sizes = pc.utf8_length(bare).to_numpy(zero_copy_only=False).astype(np.int64)
+    framed = pc.binary_join_element_wise("\x02", bare, "\x03", "")
+    points = np.frombuffer("".join(framed.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.arange(ends[-1]) + np.repeat(2 * np.arange(len(sizes)), sizes)  # a frame is two points longer than its word
+    return points[at] << np.uint64(42) | points[at + 1] << np.uint64(21) | points[at + 2], ends
+
+
+def familiar_words(words: pa.Array, seen: np.ndarray) -> np.ndarray:
+    """Whether each of distinct words is mostly made of trigrams seen."""
+    grams, ends = trigrams(words)
+    hits = np.concatenate([[0], np.cumsum(np.isin(grams, seen))])[ends]
+    return np.diff(hits) >= FAMILIAR * np.maximum(1, np.diff(ends))
+
+
+def familiarity(rows: np.ndarray, codes: np.ndarray, lettered: np.ndarray, familiar: np.ndarray) -> np.ndarray:
+    """The share of each text's words with letters that are familiar."""
+    owner = np.repeat(np.arange(len(rows) - 1), np.diff(rows))[lettered]
+    known = np.bincount(owner, familiar[codes[lettered]], len(rows) - 1)
+    return known / np.maximum(1, np.bincount(owner, minlength=len(rows) - 1))
+
+
+def shared_trigrams(rows: np.ndarray, codes: np.ndarray, words: pa.Array, texts: list[str]) -> np.ndarray:
+    """Sorted trigrams that two different texts have: what one text alone has, garbled or not, is no evidence for it."""
+    grams, ends = trigrams(words)
+    own = []
+    for i in {t: i for i, t in enumerate(texts)}.values():
+        c = np.unique(codes[rows[i] : rows[i + 1]])
+        own.append(np.unique(np.concatenate([grams[ends[k] : ends[k + 1]] for k in c])) if len(c) else grams[:0])
+    found, n = np.unique(np.concatenate(own), return_counts=True) if own else (grams[:0], np.array([], np.int64))
+    return found[n > 1]
+
+
 def emissions(words: pa.Array, model_weights: np.ndarray, lexicon: np.ndarray, settings: Settings) -> np.ndarray:
     """Scores of distinct words by label; nothing for words without a letter."""
     out = np.zeros((len(words), model_weights.shape[1]), np.float32)
@@ -229,7 +274,11 @@ def fit(texts: list[str], langs: list[str], settings: Settings = Settings()) ->
     model = Model(labels, params[0].astype(np.float32), lexicon, params[1].astype(np.float32), settings)
     _, _, marginals, of_letters, _ = labelled(pa.array(texts, pa.string()), model)
     right = [np.count_nonzero(document_labels(rows, marginals, of_letters, w)[0] == doc_label) for w in EDGES]
-    return model._replace(edge=EDGES[int(np.argmax(right))])
+    seen = shared_trigrams(rows, codes, words, texts)
+    familiar = familiarity(rows, codes, of_letters, familiar_words(words, seen))
+    judged = np.bincount(np.repeat(np.arange(len(texts)), np.diff(rows))[of_letters], minlength=len(texts)) > 0
+    usual = np.array([np.median(familiar[own]) if (own := judged & (doc_label == c)).any() else 0.0 for c in range(n_labels)])
+    return model._replace(edge=EDGES[int(np.argmax(right))], seen=seen, usual=usual)
 
 
 def train(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -280,8 +329,10 @@ def document_labels(rows: np.ndarray, marginals: np.ndarray, lettered: np.ndarra
     return best, np.minimum(1.0, share[np.arange(n), best]), counts
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", inside: bool = False) -> DataFrame:
-    """id_col, `lang_pred`, `score` of every row's whole text. inside: text_col is a field of the struct id_col, so no text goes twice."""
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", inside: bool = False, judge: bool = False) -> DataFrame:
+    """id_col, `lang_pred`, `score` of every row's whole text. inside: text_col is a field of the struct id_col, so no text goes twice.
+    judge: also `known`, whether the text is in a learned language at all.
+    """
     docs = docs.select(F.col(id_col).alias("row_id"), *([] if inside else [F.col(text_col).alias("body")]))
     id_type = dict(docs.dtypes)["row_id"]
 
@@ -292,12 +343,16 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.labels, UNKNOWN], object)
         for part in slices(paired(batches), 1, 1 << 20):
-            rows, _, marginals, lettered, _ = labelled(part.column(1), model)
+            rows, codes, marginals, lettered, words = labelled(part.column(1), model)
             best, score, counts = document_labels(rows, marginals, lettered, model.edge)
             none = (counts == 0) | (not model.labels)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[np.where(none, len(model.labels), best)], pa.string()), pa.array(np.where(none, 0.0, score))], names=["row_id", "lang_pred", "score"])
+            out = {"row_id": part.column(0), "lang_pred": pa.array(names[np.where(none, len(model.labels), best)], pa.string()), "score": pa.array(np.where(none, 0.0, score))}
+            if judge:
+                familiar = familiarity(rows, codes, lettered, familiar_words(words, model.seen))
+                out["known"] = pa.array(~none & (familiar >= KNOWN * model.usual[best]))
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    return docs.mapInArrow(run, f"row_id {id_type}, lang_pred string, score double").withColumnRenamed("row_id", id_col)
+    return docs.mapInArrow(run, f"row_id {id_type}, lang_pred string, score double" + ", known boolean" * judge).withColumnRenamed("row_id", id_col)
 
 
 def label_words(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

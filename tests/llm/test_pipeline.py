@@ -37,3 +37,20 @@ def test_repeated_rows_leave_one(spark, odd_docs, sf_dir):
 def test_every_operator_has_its_query():
     names = sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+
+
+def test_unknown_languages_go_and_mixed_texts_stay(spark, sf_dir):
+    """What is in none of the learned languages goes, whatever its labels' shares; a clean text in two of them stays."""
+    import random
+
+    rng = random.Random(3)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    long = {r.lang: r.text.split() for r in docs.orderBy("doc_id").collect() if len(r.text.split()) > 300}
+    en, fr = long["en"][:300], long["fr"][:300]
+    garbled = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(200))
+    russian = "Все люди рождаются свободными и равными в своём достоинстве и правах. " * 9
+    gone = {-1: russian, -2: "我们今天去北京大学学习中文，非常高兴。" * 9, -3: garbled, -4: "The of " + russian + " and the", -5: "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan."}
+    stay = {-11: " ".join(en + fr), -12: " ".join(fr[:2] + en + fr[-2:]), -13: " ".join(en) + " " + russian, -14: "the", -15: " ".join(en).upper()}
+    extra = spark.createDataFrame([(i, t, None, "s") for i, t in {**gone, **stay}.items()], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs.unionByName(extra), sf_dir).collect()}
+    assert not kept & gone.keys() and stay.keys() <= kept and len(kept) == docs.where(F.col("text").rlike(r"\p{L}")).count() + len(stay)
