@@ -1,4 +1,8 @@
-"""Connected components by alternating large-star and small-star steps, DataFrames only but for a local first contraction."""
+"""Connected components by alternating large-star and small-star steps, DataFrames only but for a local first contraction.
+
+A hub's edges meet a table of one row a node in each join. That table is stored first, so both sides of the join are plain
+shuffles (or the small one is broadcast), and the adaptive skew join deals a hub's edges to many tasks.
+"""
 
 from __future__ import annotations
 
@@ -70,7 +74,10 @@ def contracted(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, folder: str, most_rounds: int = 64) -> DataFrame:
-    """(a, b): every node of the edges (a, b) but the smallest of its component, and that smallest."""
+    """(a, b): every node of the edges (a, b) but the smallest of its component, and that smallest.
+
+    The rounds needed grow with the logarithm of the longest path, so `most_rounds` is a guard against errors, no limit on data.
+    """
     spark = edges.sparkSession
     now, before = stored(contracted(edges), f"{folder}/0"), None
     for k in range(1, most_rounds + 1):
@@ -80,12 +87,13 @@ def components(edges: DataFrame, folder: str, most_rounds: int = 64) -> DataFram
         before = state
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m")).select("of", F.least("of", "m").alias("m"))
+        least = stored(least, f"{folder}/{k}-least")
         large = both.where("b > a").join(least, F.col("a") == F.col("of")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stored(large.distinct(), f"{folder}/{k}-large")
-        small = large.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m"))
+        small = stored(large.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m")), f"{folder}/{k}-small")
         moved = large.join(small, F.col("a") == F.col("of")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         new = stored(moved.unionByName(small.select(F.col("of").alias("a"), F.col("m").alias("b"))).distinct(), f"{folder}/{k}")
-        removed(spark, f"{folder}/{k - 1}", f"{folder}/{k}-large")
+        removed(spark, f"{folder}/{k - 1}", *(f"{folder}/{k}-{x}" for x in ("least", "large", "small")))
         now = new
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")

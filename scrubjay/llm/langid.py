@@ -4,16 +4,15 @@ Each word is a node with a label, the languages seen in training. A node's score
 and whether it is in a lexicon of frequent training words; an edge's from learned transitions. Training maximises the
 likelihood of sequences that also switch language in the middle, spliced from sentences of different languages, so the
 transitions know both staying and switching. Forward-backward gives every word its marginals. A document's language is
-that with the largest share of its words, the first and the last few counting more by a weight learned with the rest: a long
-passage in another language does not change what language a text is in. Its score is the share. Sequences are sentences, cut at
-`longest` words.
+that with the largest share of its words, wherever they stand, and its score is the share. Sequences are sentences, cut at `longest` words.
 
 A text's shares add up to 1 whatever it is, so they cannot tell that it is in none of the languages. Its familiarity can: the share of its
 words that are mostly made of trigrams that two training texts have. `known` says whether it is at least half of what is usual among the
 training texts of the label found, each judged by the others. A label with one training text has nothing to judge by and rejects none.
 
-The model is fitted on a bounded sample (`sample_docs` documents a language, `sample_words` words of them): everything else covers
-all rows. The sample is drawn by hash with a column-pruned aggregation, so its size does not grow with the input.
+The model is fitted on a bounded sample, everything else covers all rows: at most `sample_docs` documents a language, drawn by hash, and at
+most `sample_words` words of them together. Short documents give all their words and the long ones equal shares of what is left, so
+no document uses the others' room up; none gives more than `sample_chars` characters, cut before they leave the executors.
 
 Defined cases: a text that is null, empty or without a letter is `und` with score 0; rows without language, id or
 text are never learned from; ties go to the language that sorts first; repeated rows are predicted each; with nothing to learn
@@ -22,6 +21,7 @@ from every row is `und`; other columns are ignored; an empty table gives an empt
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -34,9 +34,6 @@ from pyspark.sql import functions as F
 from .shared import slices, string_parts, words_of
 
 UNKNOWN = "und"
-#: How many words at either end, and the weights tried for them.
-EDGE_WORDS = 2
-EDGES = (0.0, 0.25, 0.5, 1.0, 2.0)
 #: The share of a word's trigrams that makes it familiar, and of the usual familiarity that makes a text known.
 FAMILIAR = 0.75
 KNOWN = 0.5
@@ -45,6 +42,7 @@ KNOWN = 0.5
 class Settings(NamedTuple):
     sample_docs: int = 128
     sample_words: int = 24_000
+    sample_chars: int = 40_000
     buckets_log2: int = 16
     longest_gram: int = 4
     lexicon_words: int = 2_000
@@ -61,7 +59,6 @@ class Model(NamedTuple):
     lexicon: np.ndarray  # sorted hashes of its words
     transitions: np.ndarray  # log scale, from row to column
     settings: Settings
-    edge: float = 0.0  # what a text's first and last words count beside the share of all its words
     seen: np.ndarray = np.array([], np.uint64)  # sorted trigrams that at least two training texts have
     usual: np.ndarray = np.zeros(1)  # by label, the median familiarity of its training texts
 
@@ -272,13 +269,22 @@ def fit(texts: list[str], langs: list[str], settings: Settings = Settings()) ->
             v += 0.02 * (grad * grad - v)
             params[i] += settings.rate * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.98**epoch)) + 1e-8)
     model = Model(labels, params[0].astype(np.float32), lexicon, params[1].astype(np.float32), settings)
-    _, _, marginals, of_letters, _ = labelled(pa.array(texts, pa.string()), model)
-    right = [np.count_nonzero(document_labels(rows, marginals, of_letters, w)[0] == doc_label) for w in EDGES]
+    of_letters = lettered[codes] if len(codes) else np.array([], bool)
     seen = shared_trigrams(rows, codes, words, texts)
     familiar = familiarity(rows, codes, of_letters, familiar_words(words, seen))
     judged = np.bincount(np.repeat(np.arange(len(texts)), np.diff(rows))[of_letters], minlength=len(texts)) > 0
     usual = np.array([np.median(familiar[own]) if (own := judged & (doc_label == c)).any() else 0.0 for c in range(n_labels)])
-    return model._replace(edge=EDGES[int(np.argmax(right))], seen=seen, usual=usual)
+    return model._replace(seen=seen, usual=usual)
+
+
+def fair_share(lengths: list[int], budget: int) -> int:
+    """The largest cap under which the lengths, each cut at it, stay within the budget together."""
+    left, ordered = budget, sorted(lengths)
+    for k, n in enumerate(ordered):
+        if n * (len(ordered) - k) > left:
+            return left // (len(ordered) - k)
+        left -= n
+    return ordered[-1] if ordered else 0
 
 
 def train(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -289,16 +295,13 @@ def train(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_i
     picked = cells.select(F.col("lang").alias("of"), F.col("least.row_id").alias("picked")).distinct()
     # At most sample_docs rows a language, so they may be sent to every task.
     sample = rows.join(F.broadcast(picked), (F.col("row_id") == F.col("picked")) & (F.col("lang") == F.col("of"))).select("lang", "row_id", "body")
-    sample = sample.groupBy("lang", "row_id").agg(F.min("body").alias("body")).toPandas().sort_values(["lang", "row_id"])
+    sample = sample.groupBy("lang", "row_id").agg(F.min(F.left("body", F.lit(settings.sample_chars))).alias("body")).toPandas().sort_values(["lang", "row_id"])
     texts, langs = [], []
     for lang, group in sample.groupby("lang"):
-        words = 0
-        for text in group["body"]:
-            if words >= settings.sample_words:
-                break
-            words += text.count(" ") + 1
-            texts.append(text)
-            langs.append(lang)
+        split = [re.findall(r"\s*\S+", text) for text in group["body"]]
+        most = fair_share([len(words) for words in split], settings.sample_words)
+        texts += ["".join(words[:most]) for words in split]
+        langs += [lang] * len(split)
     return fit(texts, langs, settings)
 
 
@@ -311,21 +314,14 @@ def labelled(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.
     return rows, codes, marginals, has_letter(words)[codes] if len(words) else np.array([], bool), words
 
 
-def document_labels(rows: np.ndarray, marginals: np.ndarray, lettered: np.ndarray, edge: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def document_labels(rows: np.ndarray, marginals: np.ndarray, lettered: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(label, its share, words with letters) of each text, from the marginals of its words."""
     n = len(rows) - 1
-    place = np.flatnonzero(lettered)
-    owner = np.repeat(np.arange(n), np.diff(rows))[place]
-    own = marginals[place]
+    owner = np.repeat(np.arange(n), np.diff(rows))[lettered]
+    own = marginals[lettered]
     counts = np.bincount(owner, minlength=n)
     share = np.stack([np.bincount(owner, own[:, c], n) for c in range(marginals.shape[1])], axis=1) / np.maximum(1, counts)[:, None]
-    total = share.copy()
-    if edge and len(place):
-        first, last = np.searchsorted(owner, np.arange(n)), np.searchsorted(owner, np.arange(n), side="right") - 1
-        full = counts > 0
-        for k in range(EDGE_WORDS):
-            total[full] += edge / EDGE_WORDS * (own[np.minimum(first + k, last)[full]] + own[np.maximum(last - k, first)[full]])
-    best = total.argmax(axis=1)
+    best = share.argmax(axis=1)
     return best, np.minimum(1.0, share[np.arange(n), best]), counts
 
 
@@ -344,7 +340,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         names = np.array([*model.labels, UNKNOWN], object)
         for part in slices(paired(batches), 1, 1 << 20):
             rows, codes, marginals, lettered, words = labelled(part.column(1), model)
-            best, score, counts = document_labels(rows, marginals, lettered, model.edge)
+            best, score, counts = document_labels(rows, marginals, lettered)
             none = (counts == 0) | (not model.labels)
             out = {"row_id": part.column(0), "lang_pred": pa.array(names[np.where(none, len(model.labels), best)], pa.string()), "score": pa.array(np.where(none, 0.0, score))}
             if judge:

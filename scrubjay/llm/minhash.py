@@ -1,33 +1,39 @@
 """Near-duplicates by b-bit MinHash: banded candidates, packed signatures, exact confirmation, connected components.
 
-1. One pass over the texts gives each its shingle count, a digest of its shingle set, band keys and a signature that keeps
-   the low b bits of every minimum, packed.
-2. Texts of equal sets are one node from here on, named by its smallest id; that aggregation combines before the shuffle.
+1. One pass over the texts gives each row a number, its shingle count, a digest of its shingle set, band keys and a signature
+   that keeps the low b bits of every minimum, packed.
+2. Rows of equal sets are one node from here on; that aggregation combines before the shuffle.
 3. Nodes that share a band are candidates. A bucket's pairs are compared by the packed signatures, by XOR and bit count, and
-   the similarity is corrected for chance agreement of b bits. Only a forest of the pairs above `limit - margin` leaves the
-   task, never all pairs; its components are the clusters within which links can lie.
-4. Within each cluster links are confirmed on full shingle sets, made again from the texts of its members only, and again
-   only a spanning forest of the true links leaves the task. Buckets and clusters larger than a block are compared block by block,
-   each pair of blocks in a task of its own, so no group is ever gathered whole.
-5. Components of the confirmed links give every document its class.
+   the similarity is corrected for chance agreement of b bits. The components of the pairs above `limit - margin` are the
+   clusters within which links can lie.
+4. Within each cluster links are confirmed on full shingle sets, made again from the texts of its members only.
+5. Components of the confirmed links give every row its class, named by the smallest id in it.
+
+Groups (buckets in 3, clusters in 4) of any size: one that weighs more than `block` is dealt by hash into blocks of about that
+weight, in which `anchors` members of the group stand every time. A block yields a forest, pairs already joined being
+skipped, and what joins an anchor in one block joins all that joins it in the others: a group of copies is done in one pass
+over its members. What the anchors leave apart is compared in a second pass: members outside the group's largest component
+with those inside and with each other, block by block. So no pair that could be a link between different components is left out, and a
+group of n members with m outside its largest component costs n + n*m comparisons, not n*n. A member's weight in 4 grows
+with its shingles, so a block is bounded in bytes, but for a single text longer than that.
 
 Missed links: with the standard settings a pair at the limit shares no band with probability 3e-6, less above it; the estimate
 stays within the margin at 4.5 standard deviations.
 
 Defined cases: a text that is null or has no word has no shingle, is linked with nothing and is kept; a text with fewer words
-than a shingle is one shingle as a whole; repeated rows share their class; a document whose id is null is linked, but is
-never the class's name while another has an id; texts may have any length; other columns are ignored; an empty table gives an
-empty result.
+than a shingle is one shingle as a whole; repeated rows share their class; rows of the same id with different texts are told
+apart; a row whose id is null is linked like others, but names its class only (by null) if no other row there has an id;
+texts may have any length; other columns are ignored or kept as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import Forest, components
@@ -42,6 +48,8 @@ class Settings(NamedTuple):
     bits: int = 4
     margin: float = 0.15
     block: int = 1024
+    anchors: int = 4
+    unit: int = 2048  # shingles that weigh as one member
     seed: int = 77
 
     @property
@@ -122,16 +130,19 @@ def band_keys(least: np.ndarray, settings: Settings) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def signed(docs: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame:
-    """row_id, n_shingles, digest (null without shingles), signature, bands of every row."""
+def signed(docs: DataFrame, settings: Settings, text_col: str) -> DataFrame:
+    """row (docs' columns), n_shingles, digest (null without shingles), signature, bands of every row."""
     if settings.bits not in (1, 2, 4, 8):
         raise ValueError("bits must be 1, 2, 4 or 8")
-    docs = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("body"))
-    id_type = dict(docs.dtypes)["row_id"]
+    docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(0).field(text_col)], names=["row", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = multipliers(settings)
-        for part in slices(batches, 1):
+        for part in slices(paired(batches), 1):
             rows, hashes = word_hashes(part.column(1))
             counts, digests, signatures, bands = [], [], [], []
             for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
@@ -145,16 +156,9 @@ def signed(docs: DataFrame, settings: Settings, id_col: str, text_col: str) -> D
                 else:
                     signatures.append(None)
                     bands.append(None)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["row_id", "n_shingles", "digest", "signature", "bands"])
-
-    return docs.mapInArrow(run, f"row_id {id_type}, n_shingles long, digest binary, signature binary, bands array<long>")
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["row", "n_shingles", "digest", "signature", "bands"])
 
-
-def tiles(count: Column, index: Column, block: int) -> Column:
-    """(x, y, side) of every pair of blocks that a member takes part in; side tells which of the two it is in."""
-    blocks, own = F.ceil(count / block).cast("int"), F.floor(index / block).cast("int")
-    others = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, own).alias("x"), F.greatest(k, own).alias("y"), (own > k).cast("int").alias("side")))
-    return F.when(blocks <= 1, F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side")))).otherwise(others)
+    return docs.mapInArrow(run, f"row {dict(docs.dtypes)['row']}, n_shingles long, digest binary, signature binary, bands array<long>")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -182,139 +186,227 @@ def boundaries(table: pa.Table, keys: int) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def near_pairs(signatures: np.ndarray, sides: np.ndarray, diagonal: bool, least: float, settings: Settings) -> Forest:
-    """A forest, by position, of the pairs whose estimates reach `least`."""
-    forest, n = Forest(), len(signatures)
+def tile_forest(sides: np.ndarray, labels: np.ndarray, diagonal: bool, matches: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list[int], list[int]]:
+    """A forest, by position, of the pairs that match: all pairs of a diagonal tile, else those of the two sides.
+
+    Members with one label, or joined by a pair found before, aren't compared.
+    """
+    n = len(sides)
+    apart = np.unique(labels, return_inverse=True)[1]
     left = np.arange(n) if diagonal else np.flatnonzero(sides == 0)
-    right = left if diagonal else np.flatnonzero(sides == 1)
+    right = np.arange(n) if diagonal else np.flatnonzero(sides == 1)
+    a: list[int] = []
+    b: list[int] = []
     for i in left:
         js = right[right > i] if diagonal else right
-        if len(js):
-            for j in js[similarity(signatures[i][None, :], signatures[js], settings) >= least]:
-                forest.link(int(i), int(j))
-    return forest
+        js = js[apart[js] != apart[i]]
+        if not len(js):
+            continue
+        for j in js[matches(int(i), js)]:
+            if apart[j] != apart[i]:
+                apart[apart == apart[j]] = apart[i]
+                a.append(int(i))
+                b.append(int(j))
+    return a, b
+
+
+#: Column order of a tile's rows: the first three name the tile.
+TILE = ("key", "x", "y", "side", "node", "label", "payload")
 
 
-def candidate_forest(members: DataFrame, settings: Settings) -> DataFrame:
-    """Edges (a, b) over rows (key, x, y, side, node, signature): forests of the near pairs of each tile of each bucket."""
-    node = dict(members.dtypes)["node"]
-    least = settings.percent / 100 - settings.margin
+def tiled_edges(tiles: DataFrame, kernel: Callable[[pa.Table, np.ndarray], tuple[list[int], list[int]]]) -> DataFrame:
+    """Edges (a, b) between nodes: what kernel finds in tables of whole tiles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = -(-settings.hashes * settings.bits // 64)
-        for table, at in grouped(batches, 3):
-            nodes = table.column("node").combine_chunks()
-            signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u8").reshape(-1, words)
-            x, y, sides = (table.column(c).to_numpy() for c in ("x", "y", "side"))
-            starts, ends = at[:-1], at[1:]
-            two = (ends - starts == 2) & (x[starts] == y[starts])
-            first = starts[two]
-            ok = first[similarity(signatures[first], signatures[first + 1], settings) >= least]
-            left, right = [ok], [ok + 1]
-            for s, e in zip(starts[~two].tolist(), ends[~two].tolist(), strict=True):
-                members_, roots = near_pairs(signatures[s:e], sides[s:e], bool(x[s] == y[s]), least, settings).edges()
-                left.append(np.array(roots, np.int64) + s)
-                right.append(np.array(members_, np.int64) + s)
-            a, b = np.concatenate(left).astype(np.int64), np.concatenate(right).astype(np.int64)
+        for table, at in grouped(slices(batches, len(TILE) - 1), 3):
+            a, b = kernel(table, at)
             if len(a):
-                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(a)), nodes.take(pa.array(b))], names=["a", "b"])
+                nodes = table.column("node").combine_chunks()
+                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(c, pa.int64())) for c in (a, b)], names=["a", "b"])
+
+    return tiles.select(*TILE).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "node").mapInArrow(run, "a long, b long")
+
+
+def estimated(settings: Settings):
+    """Kernel over signatures: pairs whose estimates reach the limit less the margin."""
+    least, words = settings.percent / 100 - settings.margin, -(-settings.hashes * settings.bits // 64)
 
-    sorted_rows = members.select("key", "x", "y", "side", "node", "signature").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "node")
-    return sorted_rows.mapInArrow(run, f"a {node}, b {node}")
+    def kernel(table: pa.Table, at: np.ndarray) -> tuple[list[int], list[int]]:
+        signatures = np.frombuffer(b"".join(table.column("payload").to_pylist()), "<u8").reshape(-1, words)
+        x, y, sides, labels = (table.column(c).to_numpy() for c in ("x", "y", "side", "label"))
+        starts, ends = at[:-1], at[1:]
+        two = (ends - starts == 2) & (x[starts] == y[starts])
+        first = starts[two]
+        ok = first[similarity(signatures[first], signatures[first + 1], settings) >= least]
+        a, b = ok.tolist(), (ok + 1).tolist()
+        for s, e in zip(starts[~two].tolist(), ends[~two].tolist(), strict=True):
+            own = signatures[s:e]
+            left, right = tile_forest(sides[s:e], labels[s:e], bool(x[s] == y[s]), lambda i, js: similarity(own[i][None, :], own[js], settings) >= least)  # noqa: B023
+            a += [k + s for k in left]
+            b += [k + s for k in right]
+        return a, b
 
+    return kernel
 
-def linked_pairs(sets: list[np.ndarray], sides: np.ndarray, diagonal: bool, percent: int) -> Forest:
-    """A forest, by position, of the pairs whose full sets are similar enough. Pairs already joined are not compared."""
-    forest, n = Forest(), len(sets)
+
+def alike(sets: list[np.ndarray], percent: int) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Which of the sets js are similar enough to set i, on full sets."""
     sizes = np.array([len(s) for s in sets], np.int64)
     _, codes = np.unique(np.concatenate(sets), return_inverse=True)
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     marked = np.zeros(int(codes.max()) + 1, bool)
-    left = np.arange(n) if diagonal else np.flatnonzero(sides == 0)
-    right = left if diagonal else np.flatnonzero(sides == 1)
-    for i in left:
-        js = right[right > i] if diagonal else right
-        js = js[(100 * np.minimum(sizes[js], sizes[i]) >= percent * np.maximum(sizes[js], sizes[i]))]
-        own = forest.root(int(i))
-        js = js[[forest.root(int(j)) != own for j in js]] if len(js) else js
-        if not len(js):
-            continue
-        mine = codes[offsets[i] : offsets[i + 1]]
-        marked[mine] = True
-        spans = np.concatenate([[0], np.cumsum(sizes[js])])
-        place = np.arange(spans[-1]) + np.repeat(offsets[js] - spans[:-1], sizes[js])
-        both = np.add.reduceat(marked[codes[place]].astype(np.int64), spans[:-1])
-        marked[mine] = False
-        for j in js[100 * both >= percent * (sizes[i] + sizes[js] - both)]:
-            forest.link(int(i), int(j))
-    return forest
+
+    def matches(i: int, js: np.ndarray) -> np.ndarray:
+        out = 100 * np.minimum(sizes[js], sizes[i]) >= percent * np.maximum(sizes[js], sizes[i])
+        near = js[out]
+        if len(near):
+            mine = codes[offsets[i] : offsets[i + 1]]
+            marked[mine] = True
+            spans = np.concatenate([[0], np.cumsum(sizes[near])])
+            place = np.arange(spans[-1]) + np.repeat(offsets[near] - spans[:-1], sizes[near])
+            both = np.add.reduceat(marked[codes[place]].astype(np.int64), spans[:-1])
+            marked[mine] = False
+            out[out] = 100 * both >= percent * (sizes[i] + sizes[near] - both)
+        return out
+
+    return matches
+
+
+def confirmed(settings: Settings):
+    """Kernel over shingle sets: true links."""
+
+    def kernel(table: pa.Table, at: np.ndarray) -> tuple[list[int], list[int]]:
+        x, y, sides, labels = (table.column(c).to_numpy() for c in ("x", "y", "side", "label"))
+        found = table.column("payload").to_pylist()
+        a: list[int] = []
+        b: list[int] = []
+        for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            if e - s > 1:
+                left, right = tile_forest(sides[s:e], labels[s:e], bool(x[s] == y[s]), alike([np.frombuffer(f, "<u8") for f in found[s:e]], settings.percent))
+                a += [k + s for k in left]
+                b += [k + s for k in right]
+        return a, b
+
+    return kernel
+
+
+def block_of(node: Column, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(3), node), blocks).cast("int")
+
+
+def blocks_for(size: Column, block: int) -> Column:
+    return F.ceil(size / block).cast("int")
+
+
+def tile(x: Column, y: Column, side: Column) -> Column:
+    return F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), side.cast("int").alias("side"))
+
+
+def joined(members: DataFrame, sizes: DataFrame, payloads: Callable[[DataFrame], DataFrame], kernel, settings: Settings, folder: str) -> DataFrame:
+    """(a, b): every node that kernel joins to others of its groups but the least of its component, and that least.
+
+    members: (key, node, weight), each in any number of groups; sizes: (key, size), a stored table of the groups' weights;
+    payloads adds the column that kernel compares, by node.
+    """
+    sizes = sizes.select(F.col("key").alias("of_key"), "size")
+    hot = sizes.where(F.col("size") > settings.block)
+    any_hot = not hot.isEmpty()
+    sized = members.join(sizes, F.col("key") == F.col("of_key")).drop("of_key")
+    own = F.array(block_of(F.col("node"), blocks_for(F.col("size"), settings.block)))
+    if any_hot:
+        crowd = stored(members.join(hot, F.col("key") == F.col("of_key")).drop("of_key"), f"{folder}/crowd")
+        cell = F.struct(F.xxhash64(F.lit(4), "key", "node").alias("h"), "node")
+        cells = F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(settings.anchors))
+        anchors = crowd.groupBy(F.col("key").alias("of_key")).agg(*(F.min(F.when(cells == c, cell)).alias(f"c{c}") for c in range(settings.anchors)))
+        anchors = stored(anchors.select("of_key", F.array(*(F.col(f"c{c}.node") for c in range(settings.anchors))).alias("anchors")), f"{folder}/anchors")
+        sized = sized.join(anchors, F.col("key") == F.col("of_key"), "left").drop("of_key")
+        everywhere = F.sequence(F.lit(0), blocks_for(F.col("size"), settings.block) - 1)
+        own = F.when(F.array_contains("anchors", F.col("node")), everywhere).otherwise(own)
+    tiles = payloads(sized.withColumn("tiles", F.transform(own, lambda k: tile(k, k, F.lit(0)))).select("key", "node", "tiles", F.col("node").alias("label")))
+    exploded = lambda rows: rows.select("key", "node", "label", "payload", F.explode("tiles").alias("t")).select("key", "t.x", "t.y", "t.side", "node", "label", "payload")
+    edges = tiled_edges(exploded(tiles), kernel)
+    if not any_hot:
+        return components(edges, f"{folder}/whole")
+
+    edges = stored(edges, f"{folder}/edges")
+    first = components(edges, f"{folder}/first").select(F.col("a").alias("of_node"), F.col("b").alias("root"))
+    marked = crowd.join(first, F.col("node") == F.col("of_node"), "left").select("key", "node", "weight", F.coalesce("root", "node").alias("label"))
+    marked = stored(marked, f"{folder}/marked")
+    shares = marked.groupBy("key", "label").agg(F.sum("weight").alias("n"))
+    still = shares.groupBy(F.col("key").alias("of_key")).agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    xs, ys = blocks_for(F.col("most.n"), settings.block), blocks_for(F.col("size") - F.col("most.n"), settings.block)
+    still = stored(still.select("of_key", F.col("most.label").alias("major"), xs.alias("xs"), ys.alias("ys")), f"{folder}/still")
+    left = marked.join(still, F.col("key") == F.col("of_key"))
+    mine_x, mine_y = block_of(F.col("node"), F.col("xs")), block_of(F.col("node"), F.col("ys"))
+    # Tiles of the largest component with the others bear x >= 0 and y < 0; tiles among the others x <= y, both from 0.
+    of_major = F.transform(F.sequence(F.lit(0), F.col("ys") - 1), lambda k: tile(mine_x, -1 - k, F.lit(0)))
+    with_major = F.transform(F.sequence(F.lit(0), F.col("xs") - 1), lambda k: tile(k, -1 - mine_y, F.lit(1)))
+    with_others = F.transform(F.sequence(F.lit(0), F.col("ys") - 1), lambda k: tile(F.least(k, mine_y), F.greatest(k, mine_y), (mine_y > k).cast("int")))
+    left = left.withColumn("tiles", F.when(F.col("label") == F.col("major"), of_major).otherwise(F.concat(with_major, with_others)))
+    more = tiled_edges(exploded(payloads(left.select("key", "node", "tiles", "label"))), kernel)
+    out = components(edges.unionByName(more), f"{folder}/whole")
+    removed(members.sparkSession, *(f"{folder}/{x}" for x in ("crowd", "anchors", "edges", "first", "marked", "still")))
+    return out
 
 
-def confirmed_forest(members: DataFrame, settings: Settings) -> DataFrame:
-    """Edges (a, b) over rows (key, x, y, side, node, shingles): forests of the true links of each tile of each cluster."""
-    node = dict(members.dtypes)["node"]
+def shingle_sets(rows: DataFrame, settings: Settings) -> DataFrame:
+    """(key, node, tiles, label, payload) of rows (key, node, tiles, label, body); the payload is the text's shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, at in grouped(slices(batches, 5, 4 << 20), 3):
-            x, y, sides = (table.column(c).to_numpy() for c in ("x", "y", "side"))
-            nodes = table.column("node").combine_chunks()
-            found = table.column("shingles").to_pylist()
-            a, b = [], []
-            for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                ms, roots = linked_pairs([np.frombuffer(f, "<u8") for f in found[s:e]], sides[s:e], bool(x[s] == y[s]), settings.percent).edges()
-                a += [r + s for r in roots]
-                b += [m + s for m in ms]
-            if a:
-                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(c, pa.int64())) for c in (a, b)], names=["a", "b"])
+        for part in slices(batches, 4):
+            at, hashes = word_hashes(part.column(4))
+            found = [shingles(hashes[a:b], settings.shingle).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(found, pa.binary())], names=["key", "node", "tiles", "label", "payload"])
 
-    sorted_rows = members.select("key", "x", "y", "side", "node", "shingles").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "node")
-    return sorted_rows.mapInArrow(run, f"a {node}, b {node}")
+    rows = rows.select("key", "node", "tiles", "label", "body")
+    types = dict(rows.dtypes)
+    return rows.mapInArrow(run, f"key long, node long, tiles {types['tiles']}, label long, payload binary")
 
 
-def shingle_sets(rows: DataFrame, settings: Settings) -> DataFrame:
-    """(key, node, n, k, shingles) of rows (key, node, n, k, digest, body), once a node, where the text is that of the digest."""
-    types = dict(rows.dtypes)
+def resolved(spark: SparkSession, docs: DataFrame, settings: Settings, id_col: str, text_col: str, folder: str) -> DataFrame:
+    """row (docs' columns), n_shingles, component_id, first of every row.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 5):
-            at, hashes = word_hashes(part.column(5))
-            kept, found = [], []
-            for i, wanted in enumerate(part.column(4).to_pylist()):
-                own = shingles(hashes[at[i] : at[i + 1]], settings.shingle)
-                if digest_of(own) == wanted:
-                    kept.append(i)
-                    found.append(own.tobytes())
-            if kept:
-                taken = part.take(pa.array(kept))
-                yield pa.RecordBatch.from_arrays([*taken.columns[:4], pa.array(found, pa.binary())], names=["key", "node", "n", "k", "shingles"])
+    component_id is the smallest id of the row's class; first is true for exactly one row of each class, one with that id.
+    """
+    # The number is drawn while the table is written and only read from then on.
+    rows = stored(signed(docs, settings, text_col).withColumn("number", F.monotonically_increasing_id()), f"{folder}/signed")
+    own_id = F.struct(F.col("row")[id_col].isNull().alias("without"), F.col("row")[id_col].alias("id"), F.col("number"))
+    nodes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min(own_id).alias("least"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands"))
+    nodes = stored(nodes.select("digest", "least", "n_shingles", "signature", "bands", F.col("least.number").alias("node")), f"{folder}/nodes")
+
+    banded = nodes.select("node", F.explode("bands").alias("key"), F.lit(1).cast("long").alias("weight"))
+    buckets = stored(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), f"{folder}/buckets")
+    signatures = nodes.select(F.col("node").alias("of"), F.col("signature").alias("payload"))
+    clusters = joined(banded, buckets, lambda m: m.join(signatures, F.col("node") == F.col("of")).drop("of"), estimated(settings), settings, f"{folder}/clusters")
+
+    members = clusters.select(F.col("a").alias("node"), F.col("b").alias("key")).unionByName(clusters.select(F.col("b").alias("node"), F.col("b").alias("key")).distinct())
+    weights = nodes.select(F.col("node").alias("of"), (1 + F.floor(F.col("n_shingles") / settings.unit)).alias("weight"))
+    members = stored(members.join(weights, F.col("node") == F.col("of")).select("key", "node", "weight"), f"{folder}/members")
+    sizes = stored(members.groupBy("key").agg(F.sum("weight").alias("size")), f"{folder}/sizes")
+    texts = rows.select(F.col("number").alias("of"), F.col("row")[text_col].alias("body"))
+    links = joined(members, sizes, lambda m: shingle_sets(m.join(texts, F.col("node") == F.col("of")), settings), confirmed(settings), settings, f"{folder}/links")
 
-    return rows.select("key", "node", "n", "k", "digest", "body").mapInArrow(run, f"key {types['key']}, node {types['node']}, n long, k long, shingles binary")
+    rooted = nodes.select("digest", "least", "node").join(links, F.col("node") == F.col("a"), "left").select("digest", "least", F.coalesce("b", "node").alias("root"))
+    rooted = stored(rooted, f"{folder}/rooted")
+    named = stored(rooted.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("name")), f"{folder}/named")
+    found = rooted.join(named, F.col("root") == F.col("of")).select(F.col("digest").alias("of"), "name")
+    out = rows.select("row", "number", "n_shingles", "digest").join(found, F.col("digest") == F.col("of"), "left")
+    alone = F.col("digest").isNull()
+    return out.select("row", "n_shingles", F.when(alone, F.col("row")[id_col]).otherwise(F.col("name.id")).alias("component_id"), (alone | (F.col("number") == F.col("name.number"))).alias("first"))
 
 
 def classes(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles, component_id of every row; component_id is the smallest id of its class."""
+    """id_col, n_shingles, component_id, first of every row; component_id is the smallest id of its class."""
     folder = scratch(spark, "minhash")
-    rows = stored(signed(docs, settings, id_col, text_col), f"{folder}/signed")
-    nodes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("row_id").alias("node"), F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands")).where("node IS NOT NULL")
-    nodes = stored(nodes, f"{folder}/nodes")
+    found = resolved(spark, docs.select(id_col, text_col), settings, id_col, text_col, f"{folder}/work")
+    out = stored(found.select(F.col("row")[id_col].alias(id_col), "n_shingles", "component_id", "first"), f"{folder}/out")
+    removed(spark, f"{folder}/work")
+    return out
 
-    by_key = Window.partitionBy("key")
-    banded = nodes.select("node", F.explode("bands").alias("key"))
-    sized = banded.withColumns({"n": F.count(F.lit(1)).over(by_key), "k": F.row_number().over(by_key.orderBy("node")) - 1}).where("n > 1")
-    signed_members = sized.join(nodes.select(F.col("node").alias("of"), "signature"), F.col("node") == F.col("of"))
-    tiled = signed_members.select("key", "node", "signature", F.explode(tiles(F.col("n"), F.col("k"), settings.block)).alias("tile")).select("key", "tile.x", "tile.y", "tile.side", "node", "signature")
-    clusters = components(candidate_forest(tiled, settings), f"{folder}/clusters")
 
-    members = clusters.select(F.col("a").alias("node"), F.col("b").alias("key")).unionByName(clusters.select(F.col("b").alias("node"), F.col("b").alias("key")).distinct())
-    members = members.withColumns({"n": F.count(F.lit(1)).over(by_key), "k": (F.row_number().over(by_key.orderBy("node")) - 1).cast("long")})
-    members = members.join(nodes.select(F.col("node").alias("of"), "digest"), F.col("node") == F.col("of")).drop("of")
-    texts = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("body"))
-    sets = shingle_sets(members.join(texts, F.col("node") == F.col("row_id")), settings)
-    tiled = sets.select("key", "node", "shingles", F.explode(tiles(F.col("n"), F.col("k"), settings.block)).alias("tile")).select("key", "tile.x", "tile.y", "tile.side", "node", "shingles")
-    links = components(confirmed_forest(tiled, settings), f"{folder}/links")
-
-    named = nodes.select("digest", "node").join(links, F.col("node") == F.col("a"), "left").select(F.col("digest").alias("of"), F.coalesce("b", "node").alias("class"))
-    out = rows.select("row_id", "n_shingles", "digest").join(named, F.col("digest") == F.col("of"), "left")
-    out = stored(out.select(F.col("row_id").alias(id_col), "n_shingles", F.coalesce("class", "row_id").alias("component_id")), f"{folder}/out")
-    removed(spark, *(f"{folder}/{x}" for x in ("signed", "nodes", "clusters", "links")))
+def unique(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class with all its columns: one of the smallest id, whole as it was given."""
+    folder = scratch(spark, "minhash")
+    out = stored(resolved(spark, docs, settings, id_col, text_col, f"{folder}/work").where("first").select("row.*"), f"{folder}/out")
+    removed(spark, f"{folder}/work")
     return out

@@ -30,8 +30,13 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder name under the shared root; nothing is created yet."""
-    return f"{shared_root(spark)}/scrubjay-{name}-{uuid.uuid4().hex}"
+    """A fresh folder under the shared root, deleted at the latest when the application ends: results in it last as long."""
+    folder = f"{shared_root(spark)}/scrubjay-{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return folder
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:

@@ -67,3 +67,41 @@ def test_held_out_accuracy(spark, sf_dir):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     held = [r for r in rows if r.held_out and docs[r.doc_id].lang]
     assert np.mean([r.lang_pred == docs[r.doc_id].lang for r in held]) > 0.95
+
+
+def test_edges_do_not_outvote_a_text(spark, model):
+    """300 words between two words of the other language at each end are what they are, with a score near their share."""
+    rng = np.random.default_rng(5)
+    inner = text(rng, "bb", 300)
+    rows = spark.createDataFrame([(1, f"kalo mira. {inner} selo tuna.")], "doc_id long, text string")
+    found = langid.predict(rows, model).first()
+    assert found.lang_pred == "bb" and found.score == pytest.approx(300 / 304, abs=0.02)
+
+
+def test_document_labels_equal_enumeration(model):
+    """A text's label and score beside marginals from all label paths of each of its sentences."""
+    texts = ["kalo mira xyth. wrog 12 selo?", "zzek", "kalo tuna. mira qurt vlix! selo", "?!", ""]
+    rows, codes, marginals, lettered, words = langid.labelled(langid.pa.array(texts), model)
+    score = langid.emissions(words, model.weights, model.lexicon, model.settings)[codes].astype(float)
+    best, share, counts = langid.document_labels(rows, marginals, lettered)
+    spelled = words.take(langid.pa.array(codes)).to_pylist()
+    for t in range(len(texts)):
+        votes, sentence = [], []
+        for k in range(rows[t], rows[t + 1]):
+            sentence.append(k)
+            if spelled[k][-1] in ".!?" or k == rows[t + 1] - 1:
+                paths = list(itertools.product(range(2), repeat=len(sentence)))
+                weights = np.array([np.exp(sum(score[i, y] for i, y in zip(sentence, p)) + sum(model.transitions[a, b] for a, b in zip(p, p[1:]))) for p in paths])
+                votes += [[weights[[p[j] == y for p in paths]].sum() / weights.sum() for y in range(2)] for j, i in enumerate(sentence) if lettered[i]]
+                sentence = []
+        assert counts[t] == len(votes)
+        if votes:
+            want = np.mean(votes, axis=0)
+            assert best[t] == want.argmax() and share[t] == pytest.approx(want.max(), abs=1e-3)
+
+
+@pytest.mark.parametrize("lengths,budget", [([5, 1, 9], 30), ([5, 1, 9], 10), ([100], 7), ([3, 3, 3], 9), ([3, 3, 4], 9), ([], 5)])
+def test_fair_share(lengths, budget):
+    cap = langid.fair_share(lengths, budget)
+    taken = lambda c: sum(min(n, c) for n in lengths)
+    assert taken(cap) <= budget and (taken(cap) == sum(lengths) or taken(cap + 1) > budget)

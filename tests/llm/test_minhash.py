@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scrubjay.llm import components, minhash, queries
 
@@ -56,6 +57,51 @@ def test_equals_all_pairs(spark, block):
     assert got == by_hand(rows, 4)
 
 
+@pytest.mark.parametrize("anchors", [1, 4])
+def test_hot_group_beside_all_pairs(spark, anchors):
+    """One group far larger than a block, of two families that anchors of one do not join, and members that only others reach."""
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), size=5))
+    base = [word() for _ in range(100)]
+    rows = []
+    for i in range(400):
+        text = list(base)
+        start = 0 if i < 250 else 10  # the second family differs from the first in ten words
+        for k in range(start):
+            text[k * 2] = f"second{k}"
+        for k in rng.integers(0, 100, size=rng.integers(0, 5)):
+            text[k] = word()
+        rows.append((i, " ".join(text)))
+    settings = SETTINGS._replace(block=16, anchors=anchors, unit=64)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.classes(spark, spark.createDataFrame(rows, "doc_id long, text string"), settings).collect()}
+    want = by_hand(rows, 4)
+    assert got == want and 1 < len({c for _, c in want.values()}) < 200
+
+
+def test_hot_bucket_of_many_texts(spark):
+    """50,000 different texts in one bucket, two words apart at most, are one class."""
+    base = "one common text of a good many words that very many documents share but for a number at its end and perhaps some more".split() * 4
+    base = [f"{w}{k}" for k, w in enumerate(base)]
+    rows = spark.range(50_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit(" ".join(base)), F.concat(F.lit("no"), F.col("id"))).alias("text"))
+    got = minhash.classes(spark, rows).groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("first").alias("firsts")).collect()
+    assert [(r.component_id, r.n, r.firsts) for r in got] == [(0, 50_000, 1)]
+
+
+def test_rows_are_told_apart_by_more_than_ids(spark):
+    """Repeated ids of different texts, ids that are null, and columns with clashing names: no text is lost, no copy stays."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(7, a, 1), (None, a, 2), (None, None, 3), (5, b, 4), (5, c, 5), (5, c, 6), (None, b + " end", 7), (None, "only here", 8), (None, "Only here", 9), (None, "", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_id long").withColumns({n: F.lit(1) for n in ("row", "number", "digest", "first", "name", "of", "node", "component_id")})
+    kept = minhash.unique(spark, docs)
+    assert kept.columns == docs.columns
+    found = sorted((r.text or "", r.kept_id) for r in kept.collect())
+    assert [t for t, _ in found] == sorted(["", "", a, b, c, found[[t.lower() for t, _ in found].index("only here")][0]])
+    ids = {r.kept_id: r.doc_id for r in kept.collect()}
+    assert {1, 3, 4, 10} <= ids.keys() and len(ids.keys() & {5, 6}) == 1 and len(ids.keys() & {8, 9}) == 1 and len(ids) == 6
+    found = minhash.classes(spark, docs)
+    assert found.where("first").count() == 6 and sorted(r.component_id or 0 for r in found.collect()) == [0, 0, 0, 0, 5, 5, 5, 5, 7, 7]
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = minhash.classes(spark, odd_docs).collect()
     assert len(rows) == odd_docs.count() and minhash.classes(spark, no_docs).count() == 0
