@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubjay.llm import langid, minhash, packing, queries, robust_outliers
@@ -24,12 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class: that with the smallest id, one row of it."""
-    found = minhash.classes(spark, docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return rows.withColumn("\x00copy", F.row_number().over(once)).where("`\x00copy` = 1 OR doc_id IS NULL").drop("\x00copy")
+    """Keeps one row of each class, one of its smallest id. Rows are told apart by their own numbers, whatever their ids."""
+    return minhash.unique(spark, docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
