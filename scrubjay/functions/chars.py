@@ -55,18 +55,29 @@ TYPOGRAPHY = {
 }
 #: Scripts in which joiners choose letter forms.
 JOINING_SCRIPTS = "Adlam Arabic Balinese Bengali Chakma Devanagari Gujarati Gurmukhi Javanese Kannada Khmer Malayalam Mandaic Mongolian Myanmar Nko Oriya Sinhala Syriac Tamil Telugu Thaana Tibetan Tirhuta".split()
+#: Where Unicode 17.0, which the rules follow, differs from the properties of later versions: letters that only those assign
+#: to the scripts above, and code points that were still reserved for pictographs.
+AFTER_17 = [(0x0B53, 0x0B54), (0x10EC9, 0x10ECF), (0x10ED9, 0x10EEE), (0x10EF0, 0x10EF9), (0x11B0A, 0x11B0A), (0x11DF0, 0x11DF1)]
+RESERVED_IN_17 = [(0x1F1AE, 0x1F1AE), (0x1F7DA, 0x1F7DB), (0x1F7F1, 0x1F7FF)]
 
 NAMES = JOINER_NAMES | {0xFEFF: BOM_NAME} | INVISIBLE_NAMES | BIDI_NAMES | {cp: name for cp, (_, name) in TYPOGRAPHY.items()}
 
 
 @lru_cache(maxsize=1)
 def context_ranges() -> tuple[tuple[int, int], ...]:
-    """Code point ranges beside which a joiner stays: the joining scripts and pictographs, by their Unicode properties."""
+    """Code point ranges beside which a joiner stays: the joining scripts and pictographs, by their properties in Unicode 17.0.
+
+    The driver alone asks for them; executors get the finished pattern, whatever versions they have installed.
+    """
     import regex
 
     members = "".join(rf"\p{{Script={s}}}" for s in JOINING_SCRIPTS) + r"\p{Extended_Pictographic}"
     everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    return tuple((ord(m[0][0]), ord(m[0][-1])) for m in regex.finditer(f"[{members}]+", everything))
+    found = {ord(c) for c in regex.findall(f"[{members}]", everything)}
+    found -= {p for a, b in AFTER_17 for p in range(a, b + 1)}
+    found |= {p for a, b in RESERVED_IN_17 for p in range(a, b + 1)}
+    starts = sorted(p for p in found if p - 1 not in found)
+    return tuple(zip(starts, sorted(p for p in found if p + 1 not in found), strict=True))
 
 
 def characters(points) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 import pandas as pd
@@ -20,19 +21,28 @@ class Options(NamedTuple):
     settle: bool = False
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ascii_punctuation(text: Column) -> Column:
-    """Typographic quotes, dashes, ellipses and spaces as ASCII."""
+    """Typographic quotes, dashes, ellipses and spaces as ASCII. The text is bound first: it stands in several places, and may be costly."""
     single = {cp: to for cp, (to, _) in chars.TYPOGRAPHY.items() if len(to) == 1}
-    out = F.translate(text, "".join(map(chr, single)), "".join(single.values()))
-    for cp, (to, _) in chars.TYPOGRAPHY.items():
-        if len(to) > 1:
-            out = F.replace(out, F.lit(chr(cp)), F.lit(to))
-    return F.when(text.rlike(f"[{chars.characters(chars.TYPOGRAPHY)}]"), out).otherwise(text)
+
+    def ascii_of(t: Column) -> Column:
+        out = F.translate(t, "".join(map(chr, single)), "".join(single.values()))
+        for cp, (to, _) in chars.TYPOGRAPHY.items():
+            if len(to) > 1:
+                out = F.replace(out, F.lit(chr(cp)), F.lit(to))
+        return F.when(t.rlike(f"[{chars.characters(chars.TYPOGRAPHY)}]"), out).otherwise(t)
+
+    return bound(text, ascii_of)
 
 
 def removed(text: Column, options: Options) -> Column:
     once = lambda t: F.when(t.rlike(chars.trigger_class(options.keep_bidi)), F.regexp_replace(t, chars.removal_pattern(options.keep_bidi, options.strip_bom), "$1")).otherwise(t)
-    return once(once(text)) if options.settle else once(text)
+    return bound(once(text), once) if options.settle else once(text)
 
 
 def normal_form(text: Column, form: str) -> Column:

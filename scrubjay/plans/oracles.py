@@ -22,11 +22,11 @@ SENTINEL = 0xE0001
 STRAY = f"[{chars.TAG_FIRST}-{chars.TAG_CANCEL}]"
 
 
-def characters_sql(typography: bool = False) -> str:
+def characters_sql(typography: bool = False, inserts: list[str] = recipes.INSERTS) -> str:
     """CTEs up to `marked`: every special character with its neighbours. Only texts with something special are unnested."""
     everything = [0x200C, 0x200D, 0xFEFF, SENTINEL, *chars.INVISIBLE_NAMES, *chars.BIDI_NAMES, *(chars.TYPOGRAPHY if typography else ())]
     special = "[" + "".join(map(chr, everything)) + chars.TAG_FIRST + "-" + chars.TAG_CANCEL + "]"
-    return f"""{recipes.NOISY_SQL}, {ranges_sql()},
+    return f"""{recipes.noisy_sql(inserts)}, {ranges_sql()},
 prepared AS (SELECT doc_id, lang, text, regexp_replace(text, '({chars.SEQUENCE})|{STRAY}', '\\1' || chr({SENTINEL}), 'g') AS t0 FROM noisy),
 sentinels AS (SELECT doc_id, lang, text, regexp_replace(t0, '({chars.SEQUENCE})' || chr({SENTINEL}), '\\1', 'g') AS t FROM prepared),
 hits AS (SELECT doc_id, t FROM sentinels WHERE regexp_matches(t, '{special}')),
@@ -41,18 +41,18 @@ def gone(keep_bidi: bool = False, strip_bom: bool = False) -> str:
     return f"({in_list('cp', points)} OR cp = {SENTINEL} OR (joiner AND NOT joined) OR (cp = 65279{'' if strip_bom else ' AND p > 1'}))"
 
 
-def cleaned_sql(keep_bidi: bool = False, strip_bom: bool = False, ascii_punct: bool = False) -> str:
+def cleaned_sql(keep_bidi: bool = False, strip_bom: bool = False, ascii_punct: bool = False, inserts: list[str] = recipes.INSERTS) -> str:
     """CTEs up to `cleaned` (doc_id, lang, text, clean)."""
     ch = "ch"
     if ascii_punct:
         quote = lambda s: "'" + s.replace("'", "''") + "'"
         ch = "CASE cp " + " ".join(f"WHEN {cp} THEN {quote(to)}" for cp, (to, _) in chars.TYPOGRAPHY.items()) + " ELSE ch END"
-    return f"""WITH {characters_sql(ascii_punct)},
+    return f"""WITH {characters_sql(ascii_punct, inserts)},
 kept AS (SELECT doc_id, coalesce(string_agg({ch}, '' ORDER BY p), '') AS clean FROM marked WHERE NOT {gone(keep_bidi, strip_bom)} GROUP BY doc_id),
 cleaned AS (SELECT n.doc_id, n.lang, n.text, CASE WHEN h.doc_id IS NULL THEN n.text ELSE coalesce(k.clean, '') END AS clean FROM noisy n LEFT JOIN hits h ON n.doc_id = h.doc_id LEFT JOIN kept k ON n.doc_id = k.doc_id)"""
 
 
-def text_sql(**options: bool) -> str:
+def text_sql(**options) -> str:
     return cleaned_sql(**options) + " SELECT doc_id, clean FROM cleaned"
 
 

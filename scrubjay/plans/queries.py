@@ -34,46 +34,38 @@ def registered(sql: str | None = None, name: str | None = None) -> Callable[[Que
 # Text rules
 
 
-def cleaning(name: str, options: Options, only: tuple[int, ...] | None = None, **sql: bool) -> None:
-    """A query that cleans noisy texts; `only` restricts the noise to the cases of one rule."""
-    keep = f" WHERE doc_id % 16 IN ({', '.join(map(str, only))})" if only else ""
+def cleaning(name: str, options: Options, inserts: list[str] = recipes.INSERTS, **sql: bool) -> None:
+    """A query that cleans every text, with noise of all kinds or of one rule's."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = recipes.noisy(spark, sf_dir)
-        rows = rows.where((F.col("doc_id") % 16).isin(*only)) if only else rows
-        return rows.select("doc_id", rules.clean("text", options).alias("clean"))
+        return recipes.noisy(spark, sf_dir, inserts).select("doc_id", rules.clean("text", options).alias("clean"))
 
-    registered(oracles.text_sql(**sql) + keep, name)(query)
+    registered(oracles.text_sql(inserts=inserts, **sql), name)(query)
 
 
 cleaning("t_scrub_default", Options())
-cleaning("t_tag_sequences", Options(), (8, 9, 10))
-cleaning("t_joiners", Options(), (3, 4, 5, 6))
-cleaning("t_bom", Options(), (11, 12))
-cleaning("t_strip_bom", Options(strip_bom=True), None, strip_bom=True)
-cleaning("t_invisibles", Options(), (0, 1, 2, 13))
-cleaning("t_bidi", Options(), (7,))
-cleaning("t_keep_bidi", Options(keep_bidi=True), None, keep_bidi=True)
-cleaning("t_ascii_punct", Options(ascii_punct=True), None, ascii_punct=True)
+for rule, noise in recipes.OF_RULE.items():
+    cleaning(f"t_{rule}", Options(), noise)
+cleaning("t_strip_bom", Options(strip_bom=True), strip_bom=True)
+cleaning("t_keep_bidi", Options(keep_bidi=True), keep_bidi=True)
+cleaning("t_ascii_punct", Options(ascii_punct=True), ascii_punct=True)
 COMBINING = "e" + chr(0x301) + "A" + chr(0x30A)
 
 
-@registered(f"WITH {recipes.NOISY_SQL} SELECT doc_id, nfc_normalize(text || '{COMBINING}') AS clean FROM noisy WHERE doc_id % 16 IN (14, 15)")
+@registered(oracles.cleaned_sql() + f" SELECT doc_id, nfc_normalize(clean || '{COMBINING}') AS clean FROM cleaned")
 def t_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = recipes.noisy(spark, sf_dir).where("doc_id % 16 IN (14, 15)")
+    rows = recipes.noisy(spark, sf_dir)
     return rows.select("doc_id", rules.clean(F.concat("text", F.lit(COMBINING)), Options(normalize="nfc")).alias("clean"))
 
 
-@registered(oracles.cleaned_sql() + f" SELECT doc_id, nfc_normalize(clean || '{COMBINING}') AS clean FROM cleaned")
-def t_nfc_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """t_nfc over all rows. The other rules' queries over all rows are t_scrub_default: their options are the same."""
-    rows = recipes.noisy(spark, sf_dir)
-    return rows.select("doc_id", rules.clean(F.concat("text", F.lit(COMBINING)), Options(normalize="nfc")).alias("clean"))
+#: What the other forms change: ligatures, squared and wide forms, composed letters and syllables.
+COMPATIBLE = "\ufb01\u33a7\uff21\u00e9\u212b\uac00\u00bd"
 
 
 @registered()
 def t_other_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = recipes.noisy(spark, sf_dir)
+    """NFD, NFKC and NFKD, which DuckDB lacks; a test compares with Python's own."""
+    rows = recipes.noisy(spark, sf_dir).select("doc_id", F.concat("text", F.lit(COMPATIBLE)).alias("text"))
     return rows.select("doc_id", *(rules.clean("text", Options(normalize=f)).alias(f) for f in ("nfd", "nfkc", "nfkd")))
 
 
@@ -137,22 +129,12 @@ def f_clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(
-    f"WITH {recipes.NOISY_SQL}, {oracles.ranges_sql()}, letters AS (SELECT unicode(unnest(string_split(text, ''))) AS codepoint FROM noisy WHERE doc_id % 16 IN (3, 4, 5, 6, 8)) "
-    "SELECT codepoint, count(*) AS n FROM letters WHERE EXISTS (SELECT 1 FROM ranges r WHERE codepoint BETWEEN r.lo AND r.hi) GROUP BY codepoint"
+    f"WITH {recipes.noisy_sql()}, {oracles.ranges_sql()}, letters AS (SELECT unicode(letter) AS codepoint, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS letter FROM noisy) GROUP BY letter) "
+    "SELECT codepoint, n FROM letters WHERE EXISTS (SELECT 1 FROM ranges r WHERE codepoint BETWEEN r.lo AND r.hi)"
 )
 def t_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code points of the texts that lie in a joining script or are pictographs."""
-    return in_ranges(spark, recipes.noisy(spark, sf_dir).where("doc_id % 16 IN (3, 4, 5, 6, 8)"))
-
-
-@registered()
-def t_in_ranges_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """t_in_ranges over all rows: its SQL would be slow, so brute force tells the result."""
-    return in_ranges(spark, recipes.noisy(spark, sf_dir))
-
-
-def in_ranges(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    points = rows.select(F.explode(F.split("text", "")).alias("ch")).groupBy(F.ascii("ch").alias("codepoint")).agg(F.count(F.lit(1)).alias("n"))
+    points = recipes.noisy(spark, sf_dir).select(F.explode(F.split("text", "")).alias("ch")).groupBy(F.ascii("ch").alias("codepoint")).agg(F.count(F.lit(1)).alias("n"))
     return ranges.members(points, ranges.context_table(spark))
 
 

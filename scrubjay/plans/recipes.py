@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BOM_CASE = 12
-#: What row i % 16 gets inserted; case 12 gets a byte order mark in front, case 15 nothing.
+#: What row i % 16 gets inserted after its first few characters, or in front where it begins with FRONT; case 15 gets nothing.
+FRONT = "^"
 INSERTS = [
     "​",
     "­",
@@ -20,7 +20,7 @@ INSERTS = [
     "x\U000e0041y",
     "\U0001f3f4\U000e0067z",
     "﻿",
-    "",
+    "^﻿",
     "\n​",
     "“q”—…",
     "",
@@ -31,20 +31,32 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, lang, text with noise that depends on the id."""
+def of_front(inserts: list[str]) -> tuple[list[str], list[str]]:
+    """The inserts that go in front, and those that go into the text, each with nothing in the others' places."""
+    return [x.removeprefix(FRONT) if x.startswith(FRONT) else "" for x in inserts], ["" if x.startswith(FRONT) else x for x in inserts]
+
+
+def noisy(spark: SparkSession, sf_dir: str, inserts: list[str] = INSERTS) -> DataFrame:
+    """doc_id, lang, text of every document, with noise that depends on the id."""
     docs = documents(spark, sf_dir).select("doc_id", "lang", "text")
-    i, at = F.col("doc_id") % 16, (F.col("doc_id") % 7).cast("int") + 1
-    insert = F.get(F.array(*map(F.lit, INSERTS)), i.cast("int"))
-    mixed = F.concat(F.substring(F.col("text"), F.lit(1), at), insert, F.substring(F.col("text"), at + 1, F.char_length("text")))
-    return docs.withColumn("text", F.when(i == BOM_CASE, F.concat(F.lit("﻿"), F.col("text"))).otherwise(mixed))
+    i, at = (F.col("doc_id") % len(inserts)).cast("int"), (F.col("doc_id") % 7).cast("int") + 1
+    front, inner = (F.get(F.array(*map(F.lit, xs)), i) for xs in of_front(inserts))
+    return docs.withColumn("text", F.concat(front, F.substring(F.col("text"), F.lit(1), at), inner, F.substring(F.col("text"), at + 1, F.char_length("text"))))
 
 
-NOISY_SQL = (
-    "noisy AS (SELECT doc_id, lang, CASE WHEN doc_id % 16 = 12 THEN '﻿' || text ELSE substr(text, 1, 1 + (doc_id % 7)::INT) || (["
-    + ", ".join(f"'{x}'" for x in INSERTS)
-    + "])[1 + (doc_id % 16)::INT] || substr(text, 2 + (doc_id % 7)::INT) END AS text FROM documents)"
-)
+def noisy_sql(inserts: list[str] = INSERTS) -> str:
+    front, inner = ("([" + ", ".join(f"'{x}'" for x in xs) + f"])[1 + (doc_id % {len(inserts)})::INT]" for xs in of_front(inserts))
+    return f"noisy AS (SELECT doc_id, lang, {front} || substr(text, 1, 1 + (doc_id % 7)::INT) || {inner} || substr(text, 2 + (doc_id % 7)::INT) AS text FROM documents)"
+
+
+#: Each rule's own noise, of which every document gets some.
+OF_RULE = {
+    "tag_sequences": ["\U0001f3f4\U000e0067\U000e0062\U000e0073\U000e0063\U000e0074\U000e007f", "x\U000e0041y", "\U0001f3f4\U000e0067z"],
+    "joiners": ["a\u200db", "\U0001f468\u200d\U0001f469", "\u06cc\u200c\u062e", "\U0001f468\u200dz", "\U00011df0\u200dz"],
+    "bom": ["\ufeff", FRONT + "\ufeff", FRONT + "\ufeff\ufeff"],
+    "invisibles": ["\u200b", "\u00ad", "\u2060", "\n\u200b\u200e\u200f", "\u061c\u180e"],
+    "bidi": ["\u202eevil\u202c", "\u2066x\u2069", "\u202a\u202b\u202d", "\u2067y\u2068"],
+}
 
 SUFFIXES = [".jpg", ".c2pa", ".tex", ".JPG", ".jpg.c2pa", ".txt", ".png", ".jpg", ".bib"]
 

@@ -55,19 +55,27 @@ def test_the_rest_stands_without_the_training_data_operators(tmp_path):
     assert done.stdout.split() == [str(len(own.QUERIES)), "[]", str(len(own.SQL))], done.stderr
 
 
-def test_whole_tables_beside_the_narrowed_queries(spark, sf_dir):
-    """What t_nfc and t_in_ranges leave out by id: all rows, by brute force."""
+def test_normal_forms_and_ranges_beside_brute_force(spark, sf_dir):
     import unicodedata
 
     from scrubjay.functions import chars
 
     texts = {r.doc_id: r.text for r in recipes.noisy(spark, sf_dir).collect()}
-    everything = {r.doc_id: r.clean for r in own.QUERIES["t_scrub_default"](spark, sf_dir).collect()}
-    for name in ("t_tag_sequences", "t_joiners", "t_bom", "t_invisibles", "t_bidi"):
-        rows = own.QUERIES[name](spark, sf_dir).collect()
-        assert everything.keys() == texts.keys() and all(everything[r.doc_id] == r.clean for r in rows)
-    got = {r.doc_id: r.clean for r in entry.queries()["t_nfc_whole"](spark, sf_dir).collect()}
-    assert got == {i: unicodedata.normalize("NFC", t + own.COMBINING) for i, t in everything.items()}
+    cleaned = {r.doc_id: r.clean for r in own.QUERIES["t_scrub_default"](spark, sf_dir).collect()}
+    forms = {r.doc_id: r for r in own.QUERIES["t_other_forms"](spark, sf_dir).collect()}
+    assert forms.keys() == cleaned.keys() == texts.keys()
+    for i, t in cleaned.items():
+        for form in ("nfd", "nfkc", "nfkd"):
+            assert forms[i][form] == unicodedata.normalize(form.upper(), t + own.COMPATIBLE)
     inside = {p for a, b in chars.context_ranges() for p in range(a, b + 1)}
     want = Counter(p for t in texts.values() for p in map(ord, t) if p in inside)
-    assert {r.codepoint: r.n for r in entry.queries()["t_in_ranges_whole"](spark, sf_dir).collect()} == want
+    assert {r.codepoint: r.n for r in own.QUERIES["t_in_ranges"](spark, sf_dir).collect()} == want
+
+
+def test_context_ranges_are_those_of_unicode_17():
+    from scrubjay.functions import chars
+
+    spans = chars.context_ranges()
+    assert sum(b - a + 1 for a, b in spans) == 6779 and all(b + 1 < c for (_, b), (c, _) in zip(spans, spans[1:]))
+    inside = {p for a, b in spans for p in range(a, b + 1)}
+    assert inside >= {0x1F1AE, 0x1F7DA, 0x1F7FF, 0x0628, 0x0B55, 0x10ED8} and not inside & {0x0B53, 0x10EC9, 0x11B0A, 0x11DF0, ord("a")}
