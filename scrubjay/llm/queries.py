@@ -170,10 +170,10 @@ FROM sets d LEFT JOIN nodes n ON len(d.s) > 0 AND md5(array_to_string(list_sort(
 
 
 def op8_sql(settings: robust_outliers.Settings = robust_outliers.Settings()) -> str:
-    """The whole estimate step by step: a CTE a concentration step."""
-    parts = range(len(robust_outliers.PARTS))
-    pairs = [(i, j) for i in parts for j in range(i + 1)]
+    """The whole estimate step by step: a CTE a concentration step, all starts side by side. Steps past the end change nothing."""
+    parts, pairs = range(len(robust_outliers.PARTS)), robust_outliers.pairs()
     floor2 = [f ** 2 for f in settings.floors]
+    floor = lambda i, j: f" + {floor2[i]!r}::DOUBLE" if i == j else ""
     factors = []
     for i, j in pairs:
         rest = f"s{i}{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
@@ -181,21 +181,41 @@ def op8_sql(settings: robust_outliers.Settings = robust_outliers.Settings()) ->
     zs = ", ".join(f"(x{i} - m{i}" + "".join(f" - l{i}{j} * z{j}" for j in range(i)) + f") / l{i}{i} AS z{i}" for i in parts)
     far = " + ".join(f"z{i} * z{i}" for i in parts)
     factored = lambda name: f"(SELECT *, {', '.join(factors)} FROM {name})"
-    xs, ms = ", ".join(f"x{i}" for i in parts), ", ".join(f"m{i}" for i in parts)
+    xs, ms, ss = ", ".join(f"x{i}" for i in parts), ", ".join(f"m{i}" for i in parts), ", ".join(f"s{i}{j}" for i, j in pairs)
+
+    def medians(name: str, values: list[str], source: str) -> str:
+        binned = " UNION ALL ".join(f"SELECT pool, {i} AS part, floor({v} * {robust_outliers.GRID} + 0.5) AS bin FROM {source}" for i, v in enumerate(values))
+        return f"""{name}_bins AS (SELECT pool, part, bin, count(*) AS n FROM ({binned}) GROUP BY ALL),
+{name}_half AS (SELECT *, sum(n) OVER (PARTITION BY pool, part ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY pool, part) AS whole FROM {name}_bins),
+{name} AS MATERIALIZED (SELECT pool, {', '.join(f"min(bin) FILTER (part = {i}) / {robust_outliers.GRID} AS m{i}" for i in parts)} FROM {name}_half WHERE 2 * upto >= whole GROUP BY pool)"""
+
+    cov = lambda a, i, j: f"({a}{i}{j} / n - {a}{i} / n * {a}{j} / n)"
+    kinds = [
+        (lambda i: f"m{i}", lambda i, j: f"d{i} * d{j}" if i == j else "0.0::DOUBLE"),
+        (lambda i: f"t{i} / n", lambda i, j: cov("t", i, j) + floor(i, j)),
+        (lambda i: f"m{i}", lambda i, j: f"d{i} * d{j}" + ("" if i == j else f" * 0.99 * {cov('g', i, j)} / sqrt(greatest({cov('g', i, i)} * {cov('g', j, j)}, 1e-18))")),
+        (lambda i: f"m{i}", lambda i, j: f"d{i} * d{j} * 4 * u{i}{j} / n" + floor(i, j)),
+    ]
+    sums = [f"sum(x{i}) AS t{i}, sum(tanh(z{i})) AS g{i}, max(m{i}) AS m{i}, max(d{i}) AS d{i}" for i in parts]
+    sums += [f"sum(x{i} * x{j}) AS t{i}{j}, sum(tanh(z{i}) * tanh(z{j})) AS g{i}{j}, sum(z{i} * z{j} / greatest({far}, 1e-12)) AS u{i}{j}" for i, j in pairs]
     steps = [
-        f"medians AS MATERIALIZED (SELECT pool, {', '.join(f'quantile_disc(x{i}, 0.5) AS m{i}' for i in parts)} FROM vectors GROUP BY pool)",
-        f"spreads AS (SELECT v.pool, {', '.join(f'quantile_disc(abs(x{i} - m{i}), 0.5) AS d{i}' for i in parts)} FROM vectors v JOIN medians m ON v.pool = m.pool GROUP BY v.pool)",
-        f"step0 AS MATERIALIZED (SELECT m.pool, {ms}, {', '.join(f'pow(1.4826 * d{i}, 2) + {floor2[i]!r}::DOUBLE AS s{i}{j}' if i == j else f'0.0::DOUBLE AS s{i}{j}' for i, j in pairs)} FROM medians m JOIN spreads s ON m.pool = s.pool)",
+        medians("medians", [f"x{i}" for i in parts], "vectors"),
+        medians("spreads", [f"abs(x{i} - m{i})" for i in parts], "(SELECT * FROM vectors JOIN medians USING (pool))"),
+        f"base AS (SELECT m.*, {', '.join(f'sqrt(pow(1.4826 * s.m{i}, 2) + {floor2[i]!r}::DOUBLE) AS d{i}' for i in parts)} FROM medians m JOIN spreads s ON m.pool = s.pool)",
+        f"standard AS (SELECT *, {', '.join(f'(x{i} - m{i}) / d{i} AS z{i}' for i in parts)} FROM vectors JOIN base USING (pool))",
+        f"sums AS MATERIALIZED (SELECT pool, count(*)::DOUBLE AS n, {', '.join(sums)} FROM standard GROUP BY pool)",
+        "step0 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT pool, {k} AS start, {', '.join(f'{m(i)} AS m{i}' for i in parts)}, {', '.join(f'{sc(i, j)} AS s{i}{j}' for i, j in pairs)} FROM sums" for k, (m, sc) in enumerate(kinds)) + ")",
     ]
     for k in range(1, settings.steps + 1):
-        scatter = ", ".join(f"{settings.consistency!r}::DOUBLE * (t{i}{j} / n - m{i} * m{j})" + (f" + {floor2[i]!r}::DOUBLE" if i == j else "") + f" AS s{i}{j}" for i, j in pairs)
+        scatter = ", ".join(f"{settings.consistency!r}::DOUBLE * (t{i}{j} / n - m{i} * m{j}){floor(i, j)} AS s{i}{j}" for i, j in pairs)
         steps += [
-            f"near{k} AS (SELECT v.pool, {xs}, {zs}, floor(16 * log2({far} + 1e-3)) AS bin FROM vectors v JOIN {factored(f'step{k - 1}')} e ON v.pool = e.pool)",
-            f"bins{k} AS (SELECT pool, bin, count(*) AS n, {', '.join(f'sum(x{i}) AS t{i}' for i in parts)}, {', '.join(f'sum(x{i} * x{j}) AS t{i}{j}' for i, j in pairs)} FROM near{k} GROUP BY pool, bin)",
-            f"inner{k} AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY pool ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY pool) AS whole FROM bins{k})",
-            f"sums{k} AS (SELECT pool, sum(n)::DOUBLE AS n, {', '.join(f'sum(t{i}) AS t{i}' for i in parts)}, {', '.join(f'sum(t{i}{j}) AS t{i}{j}' for i, j in pairs)} FROM inner{k} WHERE before < {settings.share} * whole GROUP BY pool)",
-            f"step{k} AS MATERIALIZED (SELECT pool, {', '.join(f't{i} / n AS m{i}' for i in parts)}, {scatter} FROM sums{k})",
+            f"near{k} AS (SELECT v.pool, start, {xs}, {zs}, floor({robust_outliers.DOUBLING} * log2({far} + 1e-6)) AS bin FROM vectors v JOIN {factored(f'step{k - 1}')} e ON v.pool = e.pool)",
+            f"bins{k} AS (SELECT pool, start, bin, count(*) AS n, {', '.join(f'sum(x{i}) AS t{i}' for i in parts)}, {', '.join(f'sum(x{i} * x{j}) AS t{i}{j}' for i, j in pairs)} FROM near{k} GROUP BY pool, start, bin)",
+            f"inner{k} AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY pool, start ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY pool, start) AS whole FROM bins{k})",
+            f"sums{k} AS (SELECT pool, start, sum(n)::DOUBLE AS n, {', '.join(f'sum(t{i}) AS t{i}' for i in parts)}, {', '.join(f'sum(t{i}{j}) AS t{i}{j}' for i, j in pairs)} FROM inner{k} WHERE before < {settings.share} * whole GROUP BY pool, start)",
+            f"step{k} AS MATERIALIZED (SELECT pool, start, {', '.join(f't{i} / n AS m{i}' for i in parts)}, {scatter} FROM sums{k})",
         ]
+    steps.append(f"best AS MATERIALIZED (SELECT pool, {ms}, {ss} FROM (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY round({' + '.join(f'2 * ln(l{i}{i})' for i in parts)}, 9), start) AS place FROM {factored(f'step{settings.steps}')}) WHERE place = 1)")
     return f"""
 WITH texts AS (SELECT doc_id, coalesce(lang, chr(1)) AS lang_key, coalesce(source, chr(1)) AS source_key, coalesce(text, '') AS t FROM documents),
 split AS MATERIALIZED (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines FROM texts),
@@ -213,7 +233,7 @@ keys AS (SELECT z.lang_key, z.source_key, CASE WHEN z.n >= {settings.least} THEN
 pooled AS MATERIALIZED (SELECT r.*, k.pool FROM rows r JOIN keys k ON r.lang_key = k.lang_key AND r.source_key = k.source_key),
 vectors AS MATERIALIZED (SELECT pool, {xs} FROM pooled WHERE NOT base_failed),
 {", ".join(steps)},
-judged AS (SELECT p.*, {zs}, {far} AS far FROM pooled p LEFT JOIN {factored(f"step{settings.steps}")} e ON p.pool = e.pool)
+judged AS (SELECT p.*, {zs}, {far} AS far FROM pooled p LEFT JOIN {factored("best")} e ON p.pool = e.pool)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(far <= {settings.limit}, true) AS kept FROM judged"""
 
 

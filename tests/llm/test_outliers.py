@@ -1,3 +1,4 @@
+import itertools
 import re
 from collections import Counter
 
@@ -28,38 +29,59 @@ def test_counts_equal_a_plain_reading(spark, odd_docs):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts(texts[r.i]), texts[r.i]
 
 
-def estimate(x, settings):
-    """The same estimate in plain numpy."""
-    floors = np.diag(np.square(settings.floors))
-    m = np.median(x, axis=0)
-    s = np.diag((1.4826 * np.median(np.abs(x - m), axis=0)) ** 2) + floors
-    for _ in range(settings.steps):
-        d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
-        bins = np.floor(16 * np.log2(d + 1e-3))
-        order = np.sort(bins)
-        last = order[int(np.ceil(settings.share * len(x))) - 1]
-        near = x[bins <= last]
-        m = near.mean(axis=0)
-        s = settings.consistency * ((near.T @ near) / len(near) - np.outer(m, m)) + floors
-    return m, s
+def scatter(x, settings):
+    return settings.consistency * np.cov(x.T, bias=True) + np.diag(np.square(settings.floors))
 
 
-def test_estimates_equal_numpy(spark, scratch_dir):
+def test_least_determinant_beside_all_subsets(spark, scratch_dir):
+    """Small groups: the subset found is that of the least determinant among all subsets of its size."""
+    settings = ro.Settings()
+    groups, rng = {}, np.random.default_rng(21)
+    for g in range(8):
+        x = rng.normal(size=(12, 4)) @ (np.eye(4) * 0.4 + 0.2 * rng.normal(size=(4, 4)))
+        x[:3] += rng.normal(size=4) * 4 if g % 2 else rng.normal(size=(3, 4)) * 6  # three outliers, in a cluster or scattered
+        groups[f"g{g}"] = x
+    groups["same"] = np.tile([0.3, 0.0, 0.0, 0.5], (12, 1))
+    rows = spark.createDataFrame([(g, *map(float, v)) for g, x in groups.items() for v in x], "pool string, x0 double, x1 double, x2 double, x3 double")
+    for small in (True, False):
+        got = {r.pool: r for r in ro.least_determinants(rows, settings, f"{scratch_dir}/subsets-{small}", small).collect()}
+        assert got.keys() == groups.keys()
+        for g, x in groups.items():
+            best = min((x[list(c)] for c in itertools.combinations(range(12), 9)), key=lambda y: np.linalg.det(scatter(y, settings)))
+            s = scatter(best, settings)
+            assert np.allclose([got[g][f"m{i}"] for i in range(4)], best.mean(axis=0), atol=1e-6), g
+            assert np.allclose([got[g][f"s{i}{j}"] for i, j in ro.pairs()], [s[i, j] for i, j in ro.pairs()], atol=1e-6), g
+
+
+def test_steps_never_raise_a_determinant(spark, scratch_dir):
     rng = np.random.default_rng(8)
-    settings = ro.Settings(least=50)
+    settings = ro.Settings()
     x = rng.normal(size=(401, 4)) @ (np.eye(4) * 0.3 + 0.1)
     x[:60] += 5
-    rows = spark.createDataFrame([("g", *map(float, v)) for v in x], "pool string, x0 double, x1 double, x2 double, x3 double")
-    now = ro.start(rows, settings, f"{scratch_dir}/mcd")
-    for _ in range(settings.steps):
-        now = ro.concentrated(rows, now, settings).persist()
-    got = now.first()
-    m, s = estimate(x, settings)
-    assert np.allclose([got[f"m{i}"] for i in range(4)], m, atol=1e-6)
-    assert np.allclose([got[f"s{i}{j}"] for i in range(4) for j in range(i + 1)], [s[i, j] for i in range(4) for j in range(i + 1)], atol=1e-6)
-    d = rows.crossJoin(ro.factored(now).drop("pool")).select(ro.distance(settings).alias("d")).collect()
-    want = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
-    assert np.allclose(sorted(r.d for r in d), np.sort(want), rtol=1e-6)
+    rows = spark.createDataFrame([("g", *map(float, v)) for v in x], "pool string, x0 double, x1 double, x2 double, x3 double").cache()
+    now, before = ro.stored(ro.starts(rows, settings, f"{scratch_dir}/steps", True), f"{scratch_dir}/steps/0"), None
+    for k in range(1, 7):
+        now = ro.stored(ro.concentrated(rows, now, settings), f"{scratch_dir}/steps/{k}")
+        dets = {r.start: r.d for r in ro.factored(now).select("start", ro.log_determinant().alias("d")).collect()}
+        assert dets.keys() == {0, 1, 2, 3} and (before is None or all(dets[i] <= before[i] + 0.02 for i in dets))  # bins are taken whole
+        before = dets
+    inner = x[60:]
+    best = ro.factored(ro.least_determinants(rows, settings, f"{scratch_dir}/steps/all", True))
+    r = best.first()
+    assert np.allclose([r[f"m{i}"] for i in range(4)], inner.mean(axis=0), atol=0.1)
+    d = rows.crossJoin(best.drop("pool")).select(ro.distance(settings).alias("d")).collect()
+    m, s = np.array([r[f"m{i}"] for i in range(4)]), np.zeros((4, 4))
+    for i, j in ro.pairs():
+        s[i, j] = s[j, i] = r[f"s{i}{j}"]
+    assert np.allclose(sorted(q.d for q in d), np.sort(np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)), rtol=1e-6)
+
+
+@pytest.mark.parametrize("share", [0.5, 0.75, 0.9, 1.0])
+def test_consistency_of_normal_samples(share):
+    x = np.random.default_rng(5).normal(size=(200_000, 4))
+    d = (x * x).sum(axis=1)
+    inner = x[d <= np.quantile(d, share)]
+    assert ro.Settings(share=share).consistency == pytest.approx(1 / inner.var(axis=0).mean(), rel=0.01)
 
 
 def test_odd_rows_and_outliers(spark, odd_docs, no_docs):
