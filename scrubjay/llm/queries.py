@@ -51,6 +51,22 @@ def op4_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trust.judge(spark, table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+#: The pages table has no links between hosts. So that propagation has something to do, its pages get hosts and links by their ids.
+LINKED_HOSTS = 61
+LINKED_HOST = "concat('h', {h}, '.', CASE {h} % 7 WHEN 0 THEN 'net' WHEN 1 THEN 'example.net' WHEN 2 THEN 'org' ELSE 'info' END)"
+LINKED_PAGES = (
+    f"SELECT page_id, concat('http://', {LINKED_HOST.format(h=f'(page_id % {LINKED_HOSTS})')}, CASE WHEN page_id % 3 = 0 THEN '/en/a' ELSE '/fr/b' END) AS url, "
+    "concat(" + ", ".join(f"'<a href=\"//', {LINKED_HOST.format(h=f'((page_id * page_id * {k} + page_id + {k}) % {LINKED_HOSTS + 9})')}, '/\">'" for k in (1, 3)) + ") AS html FROM pages"
+)
+
+
+def url_trust_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4 over the same pages with hosts and links of a generated graph, some of whose hosts have no page."""
+    table(spark, sf_dir, "pages").createOrReplaceTempView("scrubjay_pages")
+    rows = spark.sql(LINKED_PAGES.replace("FROM pages", "FROM scrubjay_pages"))
+    return url_trust.judge(spark, rows, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), packing.Settings(tokenizer_path("word_bpe_49k.json")))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -99,7 +115,7 @@ def op10_tar_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc_members, op2_byte_bpe, op3_text_density, op4_url_trust, op5_ffd_packing, op6_crf_language, op7_preference_chat, op8_mcd_quality, op9_bbit_minhash, op10_tar_media)}
+    return {f.__name__: f for f in (op1_warc_members, op2_byte_bpe, op3_text_density, op4_url_trust, url_trust_links, op5_ffd_packing, op6_crf_language, op7_preference_chat, op8_mcd_quality, op9_bbit_minhash, op10_tar_media)}
 
 
 def sql_text(value: str) -> str:
@@ -118,7 +134,7 @@ SELECT page_id, payload_bytes, {groups} AS payload_digest, CASE WHEN page_id = r
   CASE WHEN page_id <> response THEN response END AS refers_to FROM parts"""
 
 
-def op4_sql(settings: url_trust.Settings = url_trust.Settings()) -> str:
+def op4_sql(settings: url_trust.Settings = url_trust.Settings(), pages: str = "pages") -> str:
     host = lambda x: f"translate(coalesce(regexp_extract({x}, '^.*?://([^/?#]*)', 1, 's'), ''), '{url_trust.UPPER}', '{url_trust.LOWER}')"
 
     def case(value: str) -> str:
@@ -128,20 +144,24 @@ def op4_sql(settings: url_trust.Settings = url_trust.Settings()) -> str:
     steps = []
     for kind, verdict, src, dst in (("trust", "allow", "src", "dst"), ("distrust", "block", "dst", "src")):
         steps.append(f"{kind}_edges AS (SELECT {src} AS src, {dst} AS dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY {src}) AS share FROM edges)")
-        steps.append(f"{kind}_start AS (SELECT host, {1 - settings.damping}::DOUBLE / count(*) OVER () AS score FROM shares WHERE {verdict} >= {settings.seed_share})")
+        steps.append(f"{kind}_start AS (SELECT host, {1 - settings.damping}::DOUBLE * mass AS score FROM shares, masses WHERE {verdict} >= {settings.seed_share})")
         for k in range(1, settings.rounds + 1):
             before = f"{kind}_{k - 1}" if k > 1 else f"{kind}_start"
             steps.append(f"{kind}_{k} AS MATERIALIZED (SELECT host, sum(score) AS score FROM (SELECT e.dst AS host, {settings.damping}::DOUBLE * e.share * s.score AS score FROM {kind}_edges e JOIN {before} s ON e.src = s.host UNION ALL SELECT host, score FROM {kind}_start) GROUP BY host)")
-    last = settings.rounds
+        steps.append(f"{kind} AS (SELECT host, score * (SELECT count(*) * any_value(mass) FROM {kind}_start, masses) / sum(score) OVER () AS score FROM {kind}_{settings.rounds})")
     return f"""
-WITH rows AS (SELECT page_id, html, {host('url')} AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+WITH given AS (SELECT page_id, url, html FROM {pages}),
+rows AS (SELECT page_id, html, {host('url')} AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM given),
 ruled AS (SELECT page_id, host, path, {case('text')} AS rule, {case('verdict')} AS by_rule FROM rows),
 links AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '(?i)\\bhref\\s*=\\s*["'']?\\s*(?:[a-z][a-z0-9+.\\-]*:)?//([^/?#"''\\s>]+)', 1)), '{url_trust.UPPER}', '{url_trust.LOWER}') AS dst FROM rows),
 edges AS MATERIALIZED (SELECT DISTINCT src, dst FROM links WHERE src <> '' AND dst <> '' AND src <> dst),
-shares AS MATERIALIZED (SELECT host, avg(CASE WHEN by_rule = 'allow' THEN 1.0 ELSE 0.0 END) AS allow, avg(CASE WHEN by_rule = 'block' THEN 1.0 ELSE 0.0 END) AS block FROM ruled WHERE host <> '' GROUP BY host),
+uncrawled AS (SELECT DISTINCT dst AS host, '/' AS path FROM edges WHERE dst NOT IN (SELECT host FROM rows)),
+shown AS (SELECT host, by_rule FROM ruled UNION ALL SELECT host, {case('verdict')} FROM uncrawled),
+shares AS MATERIALIZED (SELECT host, avg(CASE WHEN by_rule = 'allow' THEN 1.0 ELSE 0.0 END) AS allow, avg(CASE WHEN by_rule = 'block' THEN 1.0 ELSE 0.0 END) AS block FROM shown WHERE host <> '' GROUP BY host),
+masses AS MATERIALIZED (SELECT 1.0::DOUBLE / greatest(1, count(*) FILTER (allow >= {settings.seed_share}) + count(*) FILTER (block >= {settings.seed_share})) AS mass FROM shares),
 {', '.join(steps)}
-SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.by_rule, CASE WHEN coalesce(d.score, 0) > coalesce(t.score, 0) THEN 'block' ELSE 'allow' END) AS verdict
-FROM ruled r LEFT JOIN trust_{last} t ON r.host = t.host LEFT JOIN distrust_{last} d ON r.host = d.host"""
+SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.by_rule, CASE WHEN coalesce(d.score, 0) > {settings.threshold} * (coalesce(t.score, 0) + coalesce(d.score, 0)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled r LEFT JOIN trust t ON r.host = t.host LEFT JOIN distrust d ON r.host = d.host"""
 
 
 OP7_SQL = """
@@ -238,4 +258,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_members": op1_sql(), "op4_url_trust": op4_sql(), "op7_preference_chat": OP7_SQL, "op8_mcd_quality": op8_sql(), "op9_bbit_minhash": OP9_SQL}
+    return {"op1_warc_members": op1_sql(), "op4_url_trust": op4_sql(), "url_trust_links": op4_sql(pages=f"({LINKED_PAGES})"), "op7_preference_chat": OP7_SQL, "op8_mcd_quality": op8_sql(), "op9_bbit_minhash": OP9_SQL}
