@@ -1,6 +1,7 @@
 """Byte-level BPE with a public rank file: parallel chunk encoding with stitching, and byte decoding.
 
-A text of at most `chunk_chars` code points is one chunk and is encoded as it stands. A longer one is cut into chunks
+Pre-tokens are found by the pattern and encoded one by one, the same way for all texts. A text of at most `chunk_chars` code
+points is one chunk, whose ids need no stitching. A longer one is cut into chunks
 that overlap; chunk tasks pre-tokenise and encode their chunk wherever they run, and one stitching step per distinct
 text walks the true pre-token boundaries from one chunk into the next until they meet a boundary that the next chunk
 found too. The pattern never looks behind, so from such a point on both agree and the chunk's own ids hold. Where they
@@ -68,7 +69,7 @@ class Pieces:
         self.known: dict[str, list[int]] = {}
 
     def __call__(self, token: str) -> list[int]:
-        ids = self.known.get(token)
+        ids = self.known.get(token)  # most pre-tokens are words seen before
         if ids is None:
             ids = self.encode(token)
             if len(self.known) >= KEPT:
@@ -83,6 +84,16 @@ def cut(text: str, chunk: int, overlap: int) -> list[tuple[int, str]]:
     return [(max(0, at - overlap), text[max(0, at - overlap) : at + chunk]) for at in range(0, max(1, len(text)), chunk)]
 
 
+def encode_short(text: str, pattern, pieces: Pieces) -> bytes:
+    """Ids of a text that is one chunk: those of its pre-tokens, with no boundaries to note."""
+    ids: list[int] = []
+    known = pieces.known
+    for token in pattern.findall(text) if not pattern.groups else (m.group() for m in pattern.finditer(text)):
+        found = known.get(token)
+        ids += pieces(token) if found is None else found
+    return np.array(ids, "<u4").tobytes()
+
+
 def encode_chunk(text: str, start: int, pattern, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ends of the pre-tokens in the whole text, the ids up to each end, and all ids."""
     ends, upto, ids = [], [], []
@@ -136,9 +147,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     fits = F.char_length("body") <= vocabulary.chunk_chars
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoding_of(vocabulary.ranks_path, vocabulary.pattern).encode_ordinary
+        pieces, pattern = Pieces(vocabulary), pattern_of(vocabulary.pattern)
         for part in slices(batches, 1):
-            ids = [np.array(encoder(text), "<u4").tobytes() for text in part.column(1).to_pylist()]
+            ids = [encode_short(text, pattern, pieces) for text in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=["row_id", "ids"])
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

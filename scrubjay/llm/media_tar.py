@@ -119,7 +119,7 @@ def store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
         for part in slices(batches, 1, 4 << 20):
             ids.append(part.column(0))
             for data in part.column(1).to_pylist():
-                key = hashlib.md5(data).digest() + len(data).to_bytes(8, "big")
+                key = hashlib.sha256(data).digest()
                 if (place := last.get(key)) is None:
                     place = last[key] = shard.place(to_png(padded(data)))
                 shard.rows.append((len(data), place))

@@ -166,14 +166,15 @@ FROM ruled r LEFT JOIN trust t ON r.host = t.host LEFT JOIN distrust d ON r.host
 
 OP7_SQL = """
 WITH last AS (SELECT conv_id, max(turn) AS last FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
-both_sides AS (SELECT c.conv_id, c.turn, min(struct_pack(r := coalesce(c.role, ''), t := coalesce(c.text, ''))) AS chosen,
-  min(struct_pack(r := coalesce(c.role, ''), t := coalesce(CASE WHEN c.turn = l.last THEN reverse(c.text) ELSE c.text END, ''))) AS rejected
-  FROM conversations c LEFT JOIN last l ON c.conv_id = l.conv_id WHERE c.conv_id IS NOT NULL AND c.turn IS NOT NULL GROUP BY c.conv_id, c.turn),
-firsts AS (SELECT conv_id, min(turn) AS first FROM both_sides WHERE chosen <> rejected GROUP BY conv_id),
-parted AS (SELECT b.conv_id, b.turn, b.chosen, b.rejected, f.first IS NULL OR b.turn < f.first AS common FROM both_sides b LEFT JOIN firsts f ON b.conv_id = f.conv_id),
-parts AS (SELECT conv_id, turn, 'prompt' AS part, chosen AS said FROM parted WHERE common
-  UNION ALL SELECT conv_id, turn, 'chosen', chosen FROM parted WHERE NOT common UNION ALL SELECT conv_id, turn, 'rejected', rejected FROM parted WHERE NOT common)
-SELECT conv_id, part, turn, '<|' || said.r || '|>' || chr(10) AS opening, said.t || '<|end|>' || chr(10) AS body, (part <> 'prompt' AND said.r = 'assistant')::INT AS mask FROM parts"""
+turns AS (SELECT DISTINCT c.conv_id, c.turn, side, struct_pack(r := coalesce(c.role, ''), t := coalesce(CASE WHEN side = 'rejected' AND c.turn = l.last THEN reverse(c.text) ELSE c.text END, '')) AS said
+  FROM conversations c CROSS JOIN (VALUES ('chosen'), ('rejected')) sides(side) LEFT JOIN last l ON c.conv_id = l.conv_id WHERE c.conv_id IS NOT NULL AND c.turn IS NOT NULL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id, side, turn ORDER BY said) AS repeat FROM turns),
+both_sides AS (SELECT conv_id, turn, repeat, min(said) FILTER (side = 'chosen') AS chosen, min(said) FILTER (side = 'rejected') AS rejected FROM numbered GROUP BY conv_id, turn, repeat),
+firsts AS (SELECT conv_id, min(struct_pack(t := turn, k := repeat)) AS first FROM both_sides WHERE chosen IS DISTINCT FROM rejected GROUP BY conv_id),
+parted AS (SELECT b.*, f.first IS NULL OR struct_pack(t := b.turn, k := b.repeat) < f.first AS common FROM both_sides b LEFT JOIN firsts f ON b.conv_id = f.conv_id),
+parts AS (SELECT conv_id, turn, repeat, 'prompt' AS part, chosen AS said FROM parted WHERE common
+  UNION ALL SELECT conv_id, turn, repeat, 'chosen', chosen FROM parted WHERE NOT common UNION ALL SELECT conv_id, turn, repeat, 'rejected', rejected FROM parted WHERE NOT common)
+SELECT conv_id, part, turn, repeat::INT AS repeat, '<|' || said.r || '|>' || chr(10) AS opening, said.t || '<|end|>' || chr(10) AS body, (part <> 'prompt' AND said.r = 'assistant')::INT AS mask FROM parts"""
 
 OP9_SQL = """
 WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),

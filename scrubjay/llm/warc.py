@@ -80,15 +80,21 @@ def read_record(stream) -> tuple[dict[str, str], bytes, bytes] | None:
     return fields, block, b"".join([*lines, line, block, b"\r\n\r\n"])
 
 
-def with_responses(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
+#: Tasks at most that archives are dealt to; beyond, a task takes several, one after the other.
+MOST_TASKS = 20_000
+
+
+def with_responses(pages: DataFrame, folder: str, id_col: str, url_col: str, payload_col: str) -> DataFrame:
     """row_id, url, payload, sha1, refers_to, is_response of every row.
 
-    The response of a payload comes from an aggregation that is combined before the shuffle, so many copies of one payload are
-    no hot group there; the join deals copies anew where they are too many for one task (adaptive skew join).
+    The response of a payload comes from an aggregation of ids and digests alone that is combined before the shuffle, so many copies of one
+    payload are no hot group there. Only payloads met more than once are listed, and the list is stored: where it is small, Spark
+    broadcasts it and no payload is shuffled; else the adaptive skew join deals a payload's copies to many tasks.
     """
     rows = pages.select(F.col(id_col).alias("row_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8").alias("payload")).withColumn("sha1", F.sha1("payload"))
     first = rows.groupBy("sha1").agg(F.max("row_id").alias("response"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select(F.col("sha1").alias("sha1_of"), "response")
-    joined = rows.join(first.hint("shuffle_hash"), rows["sha1"] == first["sha1_of"], "left")
+    first = stored(first, f"{folder}/repeated")
+    joined = rows.join(first, rows["sha1"] == first["sha1_of"], "left")
     is_response = F.col("response").isNull() | F.col("row_id").eqNullSafe(F.col("response"))
     return joined.select("row_id", "url", "payload", "sha1", F.when(~is_response, F.col("response")).alias("refers_to"), is_response.alias("is_response"))
 
@@ -143,7 +149,7 @@ def normalise(manifest: DataFrame, folder: str, files: int) -> DataFrame:
                 publish(f"{name}.idx", "\n".join(index).encode())
                 yield pa.RecordBatch.from_pydict({"archive": [name], "records": [len(index)]}, MANIFEST)
 
-    return manifest.select("archive").repartition(files).mapInArrow(rewritten, "archive string, records long")
+    return manifest.select("archive").repartition(min(files, MOST_TASKS)).mapInArrow(rewritten, "archive string, records long")
 
 
 def read_index(name: str) -> list[tuple[int, int, str, str]]:
@@ -192,12 +198,12 @@ def read_indexed(manifest: DataFrame, files: int, with_payload: bool = True) ->
                     if out:
                         yield pa.RecordBatch.from_pylist([dict(zip(ROWS.names, r, strict=True)) for r in out], ROWS)
 
-    return manifest.select("archive").repartition(files).mapInArrow(rows, "record_id string, url string, record_type string, refers_to string, payload binary, payload_bytes long, payload_digest string")
+    return manifest.select("archive").repartition(min(files, MOST_TASKS)).mapInArrow(rows, "record_id string, url string, record_type string, refers_to string, payload binary, payload_bytes long, payload_digest string")
 
 
 def archive(spark: SparkSession, pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> tuple[DataFrame, int]:
     """Write all rows as whole-stream archives, normalise them; the manifest of the normalised ones and their number."""
-    whole = stored(write_monolithic(with_responses(pages, id_col, url_col, payload_col), f"{folder}/whole"), f"{folder}/whole-manifest")
+    whole = stored(write_monolithic(with_responses(pages, folder, id_col, url_col, payload_col), f"{folder}/whole"), f"{folder}/whole-manifest")
     files = max(1, whole.count())
     manifest = stored(normalise(whole, f"{folder}/members", files), f"{folder}/manifest")
     return manifest, files

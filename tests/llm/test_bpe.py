@@ -42,6 +42,16 @@ def test_odd_rows_round_trip(odd_docs, no_docs):
         assert bpe.encode(no_docs, vocabulary).count() == 0 and bpe.decode(bpe.encode(no_docs, vocabulary), vocabulary).count() == 0
 
 
+def test_query_beside_the_library(spark, sf_dir):
+    """Every value of the query beside the library's own encoding of the whole text."""
+    import hashlib
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in queries.op2_byte_bpe(spark, sf_dir).collect():
+        ids = whole(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
+
+
 def test_query_columns(spark, sf_dir):
     rows = queries.op2_byte_bpe(spark, sf_dir)
     assert rows.columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and dict(rows.dtypes)["n_tokens"] == "bigint"

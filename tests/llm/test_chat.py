@@ -28,3 +28,13 @@ def test_prefix_completions_and_masks(spark):
     masks = {(r.part, r.turn): r["mask"] for r in chat_format.segments(df).where("pair_id = 1").collect()}
     assert masks == {("prompt", 0): 0, ("prompt", 1): 0, ("chosen", 2): 1, ("chosen", 3): 0, ("chosen", 4): 1, ("rejected", 2): 1}
     assert chat_format.segments(df.limit(0)).count() == 0
+
+
+def test_different_turns_of_one_number_all_stay(spark):
+    rows = [(1, side, k, r, t, "x", "y") for side in ("chosen", "rejected") for k, r, t in ((0, "user", "b"), (0, "user", "a"), (0, "user", "a"), (1, "assistant", side))]
+    rows.append((1, "rejected", 1, "assistant", "again", "x", "y"))
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(((r.part, r.turn, r.repeat, r.body) for r in chat_format.segments(df).collect()))
+    end = "<|end|>\n"
+    assert got == [("chosen", 1, 1, "chosen" + end), ("prompt", 0, 1, "a" + end), ("prompt", 0, 2, "b" + end), ("rejected", 1, 1, "again" + end), ("rejected", 1, 2, "rejected" + end)]
+    assert chat_format.rendered(chat_format.segments(df)).first().prompt == f"<|user|>\na{end}<|user|>\nb{end}"
