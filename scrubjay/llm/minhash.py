@@ -47,7 +47,7 @@ class Settings(NamedTuple):
     bands: int = 32
     bits: int = 4
     margin: float = 0.15
-    block: int = 1024
+    block: int = 256
     anchors: int = 4
     unit: int = 2048  # shingles that weigh as one member
     seed: int = 77

@@ -47,7 +47,7 @@ def near_copies(rng, count, words, groups):
     return out
 
 
-@pytest.mark.parametrize("block", [1024, 8])
+@pytest.mark.parametrize("block", [256, 8])
 def test_equals_all_pairs(spark, block):
     rng = np.random.default_rng(6)
     texts = near_copies(rng, 25, 90, 4) + ["", None, "a b", "A B", "a b c", " \n", "x y z w", "x  y\nz w", "É y z w", "é y z w"]
