@@ -6,7 +6,8 @@
 3. Nodes that share a band are candidates. A bucket's pairs are compared by the packed signatures, by XOR and bit count, and
    the similarity is corrected for chance agreement of b bits. The components of the pairs above `limit - margin` are the
    clusters within which links can lie.
-4. Within each cluster links are confirmed on full shingle sets, made again from the texts of its members only.
+4. Within each cluster links are confirmed on full shingle sets, made again from the texts of its members only, where they lie: no text
+   is shuffled.
 5. Components of the confirmed links give every row its class, named by the smallest id in it.
 
 Groups (buckets in 3, clusters in 4) of any size: one that weighs more than `block` is dealt by hash into blocks of about that
@@ -37,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import Forest, components
-from .shared import removed, scratch, slices, stored, words_of
+from .shared import beside, numbered, removed, scratch, slices, stored, words_of
 
 
 class Settings(NamedTuple):
@@ -363,13 +364,12 @@ def shingle_sets(rows: DataFrame, settings: Settings) -> DataFrame:
     return rows.mapInArrow(run, f"key long, node long, tiles {types['tiles']}, label long, payload binary")
 
 
-def resolved(spark: SparkSession, docs: DataFrame, settings: Settings, id_col: str, text_col: str, folder: str) -> DataFrame:
-    """row (docs' columns), n_shingles, component_id, first of every row.
+def resolved(docs: DataFrame, settings: Settings, id_col: str, text_col: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """A stored table (row, number, ...) whose rows have docs' columns, and (number, id, n_shingles, component_id, first) of every row.
 
     component_id is the smallest id of the row's class; first is true for exactly one row of each class, one with that id.
     """
-    # The number is drawn while the table is written and only read from then on.
-    rows = stored(signed(docs, settings, text_col).withColumn("number", F.monotonically_increasing_id()), f"{folder}/signed")
+    rows = numbered(signed(docs, settings, text_col), f"{folder}/signed")
     own_id = F.struct(F.col("row")[id_col].isNull().alias("without"), F.col("row")[id_col].alias("id"), F.col("number"))
     nodes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min(own_id).alias("least"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands"))
     nodes = stored(nodes.select("digest", "least", "n_shingles", "signature", "bands", F.col("least.number").alias("node")), f"{folder}/nodes")
@@ -383,23 +383,25 @@ def resolved(spark: SparkSession, docs: DataFrame, settings: Settings, id_col: s
     weights = nodes.select(F.col("node").alias("of"), (1 + F.floor(F.col("n_shingles") / settings.unit)).alias("weight"))
     members = stored(members.join(weights, F.col("node") == F.col("of")).select("key", "node", "weight"), f"{folder}/members")
     sizes = stored(members.groupBy("key").agg(F.sum("weight").alias("size")), f"{folder}/sizes")
-    texts = rows.select(F.col("number").alias("of"), F.col("row")[text_col].alias("body"))
-    links = joined(members, sizes, lambda m: shingle_sets(m.join(texts, F.col("node") == F.col("of")), settings), confirmed(settings), settings, f"{folder}/links")
+    texts = rows.select("number", F.col("row")[text_col].alias("body"))
+    turns = iter(range(9))  # a folder for each time that texts are marked
+    sets = lambda m: shingle_sets(beside(texts, m.withColumn("number", F.col("node")), f"{folder}/marked-{next(turns)}"), settings)
+    links = joined(members, sizes, sets, confirmed(settings), settings, f"{folder}/links")
 
     rooted = nodes.select("digest", "least", "node").join(links, F.col("node") == F.col("a"), "left").select("digest", "least", F.coalesce("b", "node").alias("root"))
     rooted = stored(rooted, f"{folder}/rooted")
     named = stored(rooted.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("name")), f"{folder}/named")
     found = rooted.join(named, F.col("root") == F.col("of")).select(F.col("digest").alias("of"), "name")
-    out = rows.select("row", "number", "n_shingles", "digest").join(found, F.col("digest") == F.col("of"), "left")
+    out = rows.select(F.col("row")[id_col].alias("id"), "number", "n_shingles", "digest").join(found, F.col("digest") == F.col("of"), "left")
     alone = F.col("digest").isNull()
-    return out.select("row", "n_shingles", F.when(alone, F.col("row")[id_col]).otherwise(F.col("name.id")).alias("component_id"), (alone | (F.col("number") == F.col("name.number"))).alias("first"))
+    return rows, out.select("number", "id", "n_shingles", F.when(alone, F.col("id")).otherwise(F.col("name.id")).alias("component_id"), (alone | (F.col("number") == F.col("name.number"))).alias("first"))
 
 
 def classes(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id, first of every row; component_id is the smallest id of its class."""
     folder = scratch(spark, "minhash")
-    found = resolved(spark, docs.select(id_col, text_col), settings, id_col, text_col, f"{folder}/work")
-    out = stored(found.select(F.col("row")[id_col].alias(id_col), "n_shingles", "component_id", "first"), f"{folder}/out")
+    _, found = resolved(docs.select(id_col, text_col), settings, id_col, text_col, f"{folder}/work")
+    out = stored(found.select(F.col("id").alias(id_col), "n_shingles", "component_id", "first"), f"{folder}/out")
     removed(spark, f"{folder}/work")
     return out
 
@@ -407,6 +409,8 @@ def classes(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(
 def unique(spark: SparkSession, docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class with all its columns: one of the smallest id, whole as it was given."""
     folder = scratch(spark, "minhash")
-    out = stored(resolved(spark, docs, settings, id_col, text_col, f"{folder}/work").where("first").select("row.*"), f"{folder}/out")
+    rows, found = resolved(docs, settings, id_col, text_col, f"{folder}/work")
+    kept = found.where("first").select("number")
+    out = stored(beside(rows.select("row", "number"), kept, f"{folder}/work/kept").select("row.*"), f"{folder}/out")
     removed(spark, f"{folder}/work")
     return out

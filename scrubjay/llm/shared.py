@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Java form of one word; white space is U+0020 and U+0009 to U+000D only.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
@@ -97,6 +99,61 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20)
     released()
 
 
+#: How numbers of F.monotonically_increasing_id tell the task that drew them: all bits above these.
+WITHIN_TASK = 33
+
+
+def numbered(df: DataFrame, path: str) -> DataFrame:
+    """df stored with a column `number`, drawn while the table is written and only read from then on: unique, and by file."""
+    return stored(df.withColumn("number", F.monotonically_increasing_id()), path)
+
+
+def beside(rows: DataFrame, marks: DataFrame, folder: str) -> DataFrame:
+    """Rows of a `numbered` table that marks has by `number`, with the columns of marks; rows are not shuffled.
+
+    Marks, each number once at most, are dealt and written by the task that drew the numbers: a file's rows lie together, and so
+    do their marks, which a task reads when it meets the file's numbers. It holds one file's marks at a time.
+    """
+    part = F.shiftright("number", WITHIN_TASK)
+    marks.withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(folder)
+    names = [c for c in marks.columns if c != "number"]
+    schema = StructType([*rows.schema.fields, *(marks.schema[c] for c in names)])
+    at = rows.columns.index("number")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs, parquet
+
+        system, root = file_system(folder)
+        held: tuple[int, pa.Table | None] = (-1, None)
+
+        def marks_of(task: int) -> pa.Table | None:
+            found = system.get_file_info(fs.FileSelector(f"{root}/part={task}", allow_not_found=True))
+            tables = []
+            for name in sorted(f.path for f in found if f.path.endswith(".parquet")):
+                with system.open_input_file(name) as file:
+                    tables.append(parquet.ParquetFile(file).read())
+            return pa.concat_tables(tables).sort_by("number").combine_chunks() if tables else None
+
+        for batch in batches:
+            numbers = batch.column(at).to_numpy()
+            tasks = numbers >> WITHIN_TASK
+            starts = np.flatnonzero(np.concatenate([[True], tasks[1:] != tasks[:-1]])) if len(numbers) else []
+            for s, e in zip(starts, [*starts[1:], len(numbers)], strict=True):
+                if held[0] != tasks[s]:
+                    held = (int(tasks[s]), marks_of(int(tasks[s])))
+                if held[1] is None:
+                    continue
+                known = held[1].column("number").to_numpy()
+                place = np.minimum(np.searchsorted(known, numbers[s:e]), len(known) - 1)
+                hit = known[place] == numbers[s:e]
+                if hit.any():
+                    own = batch.slice(s, e - s).filter(pa.array(hit))
+                    more = held[1].take(pa.array(place[hit])).combine_chunks().to_batches()[0]
+                    yield pa.RecordBatch.from_arrays([*own.columns, *(more.column(c) for c in names)], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words of each text (null: none) as dictionary codes: row offsets, codes in text order, distinct words.
 
