@@ -16,7 +16,6 @@ REASONS = {
     IS_MANIFEST: "this file is a detached C2PA manifest, not an asset with metadata in it",
 }
 LABEL_WINDOW = 64
-LARGEST_ENTRY = 8 << 20
 
 SIGNER = "struct<issuer:string,common_name:string,alg:string,cert_serial:string,claim_generator:string,title:string,validation_state:string>"
 

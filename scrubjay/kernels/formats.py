@@ -12,11 +12,13 @@ from .base import Malformed, Policy, Scrubbed
 from .bib import scrub_bib
 from .docx import scrub_docx
 from .images import scrub_jpeg, scrub_png
+from .pdf import Unreadable, scrub_pdf
 from .tex import scrub_tex
 from .xmp import provenance_url
 
 UNPARSED_CONTAINER = "C2PA data found in a container the SDK cannot parse"
 LABEL_WINDOW = 64
+ENTRY_BLOCK = 1 << 20
 
 
 class Facts(NamedTuple):
@@ -37,11 +39,31 @@ def box_with_label(data: bytes) -> bool:
     return False
 
 
+def entry_has_label(archive: zipfile.ZipFile, info: zipfile.ZipInfo) -> bool:
+    """Whether an entry holds a labelled box, read block by block: an entry may unfold to far more than its archive."""
+    kept, begins = b"", 0  # what is left of the blocks before, and where in the entry it begins
+    with archive.open(info) as stream:
+        while True:
+            block = stream.read(ENTRY_BLOCK)
+            kept += block
+            for m in re.finditer(b"jumb", kept):
+                if block and m.start() + LABEL_WINDOW > len(kept):
+                    break  # its window goes on in the next block
+                start = m.start() - 4
+                size = int.from_bytes(kept[start : m.start()], "big") if start >= 0 else 0
+                if b"c2pa" in kept[m.start() : m.start() + LABEL_WINDOW] and (size < 2 or 8 <= size <= info.file_size - begins - start):
+                    return True
+            if not block:
+                return False
+            cut = max(0, len(kept) - LABEL_WINDOW - 8)
+            kept, begins = kept[cut:], begins + cut
+
+
 def archive_has_label(data: bytes) -> bool:
-    """Entries of a zip archive by name and by content; each is read whole, and one that can't be read counts."""
+    """Entries of a zip archive by name and by content; one that can't be read counts."""
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as archive:
-            return any(b"c2pa" in info.filename.lower().encode() or box_with_label(archive.read(info)) for info in archive.infolist())
+            return any(b"c2pa" in info.filename.lower().encode() or entry_has_label(archive, info) for info in archive.infolist())
     except Exception:
         return True
 
@@ -91,5 +113,8 @@ def scrub(data: bytes, kind: str | None, suffix: str, policy: Policy) -> Scrubbe
     if kind in ("latex", "latex-package", "latex-docstrip"):
         return scrub_tex(data, policy, kind)
     if kind == "pdf":
-        raise Unsupported("unsupported file type: .pdf (no PDF library; nothing was changed)")
+        try:
+            return scrub_pdf(data, policy)
+        except Unreadable as exc:
+            raise Unsupported(f"{exc} (nothing was changed)") from exc
     raise Unsupported(f"unsupported file type: {suffix or 'unknown'}")

@@ -15,6 +15,7 @@ NAMESPACES = {
     "dcterms": "http://purl.org/dc/terms/",
     "xmp": "http://ns.adobe.com/xap/1.0/",
     "xmpMM": "http://ns.adobe.com/xap/1.0/mm/",
+    "pdf": "http://ns.adobe.com/pdf/1.3/",
     "photoshop": "http://ns.adobe.com/photoshop/1.0/",
     "exif": "http://ns.adobe.com/exif/1.0/",
     "tiff": "http://ns.adobe.com/tiff/1.0/",
@@ -60,21 +61,21 @@ def provenance_url(raw: bytes) -> str | None:
     return None
 
 
-def scrub_xmp(raw: bytes, strip_dates: bool = False) -> tuple[bytes, list[Removal]]:
-    """The packet without what identifies; unchanged where it can't be parsed."""
+def scrub_xmp(raw: bytes, strip_dates: bool = False, names: tuple[str, ...] | None = None, where: str = "XMP", location: bool = True) -> tuple[bytes, list[Removal]]:
+    """The packet without what identifies; unchanged where it can't be parsed. names: the properties that go, if not the usual ones."""
     start, end = frame(raw)
     try:
         root = safe_tree(raw[start:end])
     except Exception:
         return raw, []
-    named = {expanded(n): n for n in (*IDENTITY, *(DATES if strip_dates else ()))}
-    location = expanded("exif:GPS")
+    named = {expanded(n): n for n in (names or (*IDENTITY, *(DATES if strip_dates else ())))}
+    place = expanded("exif:GPS")
     attributes, elements = [], []
 
     def removal(key: str) -> Removal | None:
         if key in named:
-            return Removal("XMP", named[key])
-        return Removal("XMP", key.partition("}")[2], "location") if key.startswith(location) else None
+            return Removal(where, named[key])
+        return Removal(where, key.partition("}")[2], "location") if location and key.startswith(place) else None
 
     for element in root.iter():
         for key in [k for k in element.attrib if removal(k)]:

@@ -496,6 +496,39 @@ XMP_SQL = ", ".join([when(2, "XMP: xmp:CreatorTool"), when(3, "XMP: GPSLatitude
 crafted("x_jpeg_scrub", "jpeg", row_sql("jpeg", f"{EXIF_SQL}, {XMP_SQL}, {when(6, 'APP1: extended XMP packet')}, {when(7, 'APP13: Photoshop/IPTC resource block')}, {when(2, 'COM: comment segment')}", "'APP2 (ICC colour profile)'"))
 crafted("x_png_scrub", "png", row_sql("png", f"{when(2, 'chunk tEXt: Author')}, {XMP_SQL}, {EXIF_SQL}", "''"))
 crafted("x_png_dates", "png", row_sql("png", f"{when(2, 'chunk tEXt: Author')}, {when(3, 'chunk tIME: last-modified timestamp')}, {XMP_SQL}, {EXIF_SQL}", "''"), Policy(strip_dates=True))
+
+
+def pdf_sql(text: str) -> str:
+    """The text as SQL, with # for the row's id."""
+    return "replace('" + text.replace("'", "''").replace("\n", "' || chr(10) || '") + "', '#', lpad(doc_id::VARCHAR, 9, '0'))"
+
+
+def pdf_scrubbed(author: bool, producer: bool) -> str:
+    """What DocInfo should be: blanks where an entry was."""
+    out = samples.pdf_info(author, producer)
+    for gone in ["/Cre@61tor 5 0 R", *(["/Author (Ann \\(#\\))"] if author else []), *(["/Producer <41626364>"] if producer else [])]:
+        assert gone in out
+        out = out.replace(gone, " " * (len(gone) + 8 * gone.count("#")))
+    return out
+
+
+PDF_HEAD = samples.pdf(1).index(b"3 0 obj")
+PDF_REMOVED = f"concat_ws('; ', {when(2, 'PDF DocInfo: Author')}, 'PDF DocInfo: Creator', {when(3, 'PDF DocInfo: Producer')}, 'PDF XMP: pdf:Producer')"
+
+
+@registered(
+    f"SELECT doc_id, 'pdf' AS format, {PDF_REMOVED} AS removals, '/AF associated files' AS preserved, {len(samples.pdf(1))} AS n_bytes, sha256(CASE "
+    + " ".join(f"WHEN (doc_id % 2 = 0) = {a} AND (doc_id % 3 = 0) = {p} THEN {pdf_sql(pdf_scrubbed(a, p))}" for a in (True, False) for p in (True, False))
+    + f" END) AS info_sha256, sha256({pdf_sql('5 0 obj' + chr(10) + '()' + ' ' * 14 + chr(10) + 'endobj' + chr(10))}) AS creator_sha256 FROM documents"
+)
+def x_pdf_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removals from PDFs, and the bytes of the objects that held them."""
+    rows = scrub_rows(samples.files(recipes.documents(spark, sf_dir), "pdf"))
+    info, creator = len(samples.pdf_info(True, True)) + 16, samples.pdf(1).index(b"5 0 obj")
+    cut = lambda at, n: F.sha2(F.substring("data", at + 1, n), 256)
+    return rows.select(F.col("path").cast("long").alias("doc_id"), "format", F.array_join(F.transform("removals", report.removal_text), "; ").alias("removals"), F.array_join("preserved", "; ").alias("preserved"), F.octet_length("data").alias("n_bytes"), cut(PDF_HEAD, info).alias("info_sha256"), cut(creator, 32).alias("creator_sha256"))
+
+
 DOCX_SQL = ", ".join([when(2, "docProps/core.xml: creator"), when(3, "docProps/app.xml: Company"), when(4, "word/settings.xml: w:rsid revision-session identifiers")])
 crafted("x_docx", "docx", f"SELECT doc_id, 'docx' AS format, concat_ws('; ', {DOCX_SQL}, {when(5, 'word/document.xml: tracked-change authors (reported only; use --strip-revisions to anonymise)')}) AS removals, 'word/media/a.bin' AS preserved, concat_ws('; ', {DOCX_SQL}) <> '' AS changed, NULL::VARCHAR AS error FROM documents")
 crafted("x_docx_revisions", "docx", row_sql("docx", f"{DOCX_SQL}, {when(5, 'word/document.xml: 1 tracked-change author name(s) (anonymised)')}", "'word/media/a.bin'"), Policy(strip_revisions=True))

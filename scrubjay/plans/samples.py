@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import struct
 import zipfile
 import zlib
@@ -109,6 +110,31 @@ def docx(i: int) -> bytes:
     return out.getvalue()
 
 
+def xref(offsets: list[int]) -> str:
+    return f"xref\n0 {len(offsets) + 1}\n0000000000 65535 f \n" + "".join(f"{o:010d} 00000 n \n" for o in offsets)
+
+
+#: A PDF whose parts have one length whatever the id: # stands for it in nine digits, and each pair of marks for one of two spellings.
+PDF_INFO = "3 0 obj\n<< /Title (T #) <A/Author|/Remark> (Ann \\(#\\)) <P/Producer|/Prepared> <41626364> /CreationDate (D:2024) /Cre@61tor 5 0 R >>\nendobj\n"
+PDF_XMP = (
+    '<?xpacket begin="" id="x"?><x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><rdf:Description rdf:about="" '
+    'xmlns:pdf="http://ns.adobe.com/pdf/1.3/" pdf:Producer="P" pdf:Keywords="k" /></rdf:RDF></x:xmpmeta>' + " " * 60 + '<?xpacket end="w"?>'
+)
+
+
+def pdf_info(author: bool, producer: bool) -> str:
+    """PDF_INFO with the marks spelled out; its creator's name is written with an escape."""
+    return re.sub(r"<([AP])(/\w+)\|(/\w+)>", lambda m: m[2] if (author if m[1] == "A" else producer) else m[3], PDF_INFO)
+
+
+def pdf(i: int) -> bytes:
+    info = pdf_info(i % 2 == 0, i % 3 == 0).replace("#", f"{i:09d}").replace("Cre@", "Cre#")
+    parts = ["%PDF-1.4\n", "1 0 obj\n<< /Type /Catalog /Pages 2 0 R /Metadata 4 0 R /AF [] >>\nendobj\n", "2 0 obj\n<< /Type /Pages /Kids [] /Count 0 >>\nendobj\n", info]
+    parts += [f"4 0 obj\n<< /Type /Metadata /Subtype /XML /Length {len(PDF_XMP)} >>\nstream\n{PDF_XMP}\nendstream\nendobj\n", f"5 0 obj\n(Tool {i:09d})\nendobj\n"]
+    ends = [len("".join(parts[: k + 1])) for k in range(len(parts))]
+    return ("".join(parts) + xref(ends[:5]) + f"trailer\n<< /Size 6 /Root 1 0 R /Info 3 0 R >>\nstartxref\n{ends[5]}\n%%EOF\n").encode()
+
+
 def box() -> bytes:
     """The smallest box that carries a manifest store's label."""
     inner = b"jumd" + b"c2pa" + bytes(12)
@@ -123,7 +149,7 @@ def credentials(i: int) -> bytes:
     return jpeg(i)[:40] if i % 4 == 3 else jpeg(i)
 
 
-MAKERS = {"jpeg": (jpeg, ".jpg"), "png": (png, ".png"), "docx": (docx, ".docx"), "xmp": (packet, ".xmp"), "credentials": (credentials, ".jpg")}
+MAKERS = {"pdf": (pdf, ".pdf"), "jpeg": (jpeg, ".jpg"), "png": (png, ".png"), "docx": (docx, ".docx"), "xmp": (packet, ".xmp"), "credentials": (credentials, ".jpg")}
 
 
 def files(docs: DataFrame, kind: str) -> DataFrame:

@@ -50,6 +50,16 @@ def siblings(spark: SparkSession, files: DataFrame) -> DataFrame:
     return folders.mapInArrow(run, "path string, dir string, name string, stem string, suffix string")
 
 
+def real_paths(files: DataFrame) -> DataFrame:
+    """path and `real`: where it leads through symbolic links, from the task that looks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([str(Path(p).resolve()) for p in batch.column(0).to_pylist()], pa.string())], names=["path", "real"])
+
+    return files.select("path").mapInArrow(run, "path string, real string")
+
+
 def with_content(files: DataFrame) -> DataFrame:
     """path, suffix, content, read where the task runs; an unreadable file has null content."""
 

@@ -139,3 +139,55 @@ def test_credentials():
     with zipfile.ZipFile(out, "w") as z:
         z.writestr("META/c2pa.bin", "x")
     assert formats.facts_of(out.getvalue(), "docx").unrecognized
+
+
+def pdf_of(info: bytes, trailer: bytes = b"", more: bytes = b"") -> bytes:
+    head = b"%PDF-1.4\n1 0 obj\n<< /Type /Catalog " + more + b">>\nendobj\n"
+    body = head + b"2 0 obj\n" + info + b"\nendobj\n"
+    table = b"xref\n0 3\n0000000000 65535 f \n%010d 00000 n \n%010d 00000 n \n" % (9, len(head))
+    return body + table + b"trailer\n<< /Size 3 /Root 1 0 R /Info 2 0 R " + trailer + b">>\nstartxref\n%d\n%%%%EOF\n" % len(body)
+
+
+def test_pdf_in_place_and_every_revision():
+    from scrubjay.kernels.pdf import scrub_pdf
+
+    first = pdf_of(b"<< /Author (An\\)n (x)) % /Author (c)\n/Title (/Author \\( t) /#43ompany <41 42> /Keywords [(a) << /b (c) >>] /ModDate (D:1) >>")
+    again = first + b"2 0 obj\n<< /Author (Later) /Title (U) >>\nendobj\n"
+    table = len(again)
+    again += b"xref\n2 1\n%010d 00000 n \ntrailer\n<< /Size 3 /Root 1 0 R /Info 2 0 R /Prev %d >>\nstartxref\n%d\n%%%%EOF\n" % (len(first), first.index(b"xref"), table)
+    out = scrub_pdf(again, Policy())
+    assert len(out.data) == len(again) and [r.what for r in out.removals] == ["Author", "Keywords", "Company"]
+    for gone in (b"Ann", b"An\\)n", b"Later", b"41 42", b"/Keywords"):
+        assert gone not in out.data
+    for kept in (b"/Title (/Author \\( t)", b"/Title (U)", b"/ModDate (D:1)", b"%%EOF"):
+        assert kept in out.data
+    assert not scrub_pdf(out.data, Policy()).changed
+    assert [r.what for r in scrub_pdf(again, Policy(strip_dates=True)).removals] == ["Author", "Keywords", "Company", "ModDate"]
+
+
+@pytest.mark.parametrize("data", [b"%PDF-1.4", pdf_of(b"<< >>", b"/Encrypt 9 0 R "), pdf_of(b"<< /Type /ObjStm >>"), pdf_of(b"<< /Type /Metadata /Filter /FlateDecode >>\nstream\nxx\nendstream"), pdf_of(b"<<" * 300), pdf_of(b"<< /Author (x"), pdf_of(b"<< /Author "), b"%PDF-1.4\nstartxref\n5\n", pdf_of(b"<< /A 1 >>").replace(b"0000000009", b"0000000010")])
+def test_pdfs_that_cannot_be_read_are_errors(data):
+    from scrubjay.kernels.pdf import scrub_pdf
+    from scrubjay.operators.scrub import scrubbed_bytes
+
+    with pytest.raises(ValueError):
+        scrub_pdf(data, Policy())
+    new, _, _, changed, error = scrubbed_bytes(data, "pdf", ".pdf", Policy())
+    assert new is None and not changed and error
+
+
+def test_label_across_blocks_of_an_entry(monkeypatch):
+    import io
+    import zipfile
+
+    from scrubjay.kernels import formats
+
+    box = (40).to_bytes(4, "big") + b"jumb" + b"x" * 20 + b"c2pa" + b"y" * 40
+    for block in (16, 33, 64, 1 << 20):
+        monkeypatch.setattr(formats, "ENTRY_BLOCK", block)
+        for before in (0, 1, 13, 50):
+            for payload, want in ((b"z" * before + box, True), (b"z" * before + box.replace(b"c2pa", b"c3pa"), False), (b"z" * before + (9999).to_bytes(4, "big") + box[4:], False)):
+                made = io.BytesIO()
+                with zipfile.ZipFile(made, "w") as z:
+                    z.writestr("a", payload)
+                assert formats.archive_has_label(made.getvalue()) == want == formats.box_with_label(payload), (block, before)
