@@ -2,59 +2,29 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import removed, scratch  # noqa: F401  (the operators take them from here)
+
 #: Java form of one word; white space is U+0020 and U+0009 to U+000D only.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 SPACE_PATTERN = "[\\x20\\x09-\\x0D]"
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    own = os.path.join(tempfile.gettempdir(), "scrubjay-shared")
-    os.makedirs(own, exist_ok=True)
-    return own
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared root, deleted at the latest when the application ends: results in it last as long."""
-    folder = f"{shared_root(spark)}/scrubjay-{name}-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    system.mkdirs(path)
-    system.deleteOnExit(path)
-    return folder
-
-
 def stored(df: DataFrame, path: str) -> DataFrame:
     """Write df as Parquet under the shared root and read it back, which cuts its lineage."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def removed(spark: SparkSession, *paths: str) -> None:
-    """Delete scratch folders; absent ones are fine."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-
-
 def file_system(uri: str):
     """(pyarrow file system, path) of a folder or file under the shared root, usable from a Python worker."""
     from pyarrow import fs
