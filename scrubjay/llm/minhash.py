@@ -350,18 +350,20 @@ def joined(members: DataFrame, sizes: DataFrame, payloads: Callable[[DataFrame],
     return out
 
 
-def shingle_sets(rows: DataFrame, settings: Settings) -> DataFrame:
-    """(key, node, tiles, label, payload) of rows (key, node, tiles, label, body); the payload is the text's shingle set."""
+SET_COLUMNS = ("key", "node", "tiles", "label")
+
+
+def shingle_sets(settings: Settings) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From batches with key, node, tiles, label and body to the same with a payload, the text's shingle set, instead of the body."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 4):
-            at, hashes = word_hashes(part.column(4))
-            found = [shingles(hashes[a:b], settings.shingle).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(found, pa.binary())], names=["key", "node", "tiles", "label", "payload"])
+        for batch in batches:
+            for part in slices(iter([batch]), batch.schema.get_field_index("body"), 2 << 20):
+                at, hashes = word_hashes(part.column("body"))
+                found = [shingles(hashes[a:b], settings.shingle).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in SET_COLUMNS), pa.array(found, pa.binary())], names=[*SET_COLUMNS, "payload"])
 
-    rows = rows.select("key", "node", "tiles", "label", "body")
-    types = dict(rows.dtypes)
-    return rows.mapInArrow(run, f"key long, node long, tiles {types['tiles']}, label long, payload binary")
+    return run
 
 
 def resolved(docs: DataFrame, settings: Settings, id_col: str, text_col: str, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -385,7 +387,11 @@ def resolved(docs: DataFrame, settings: Settings, id_col: str, text_col: str, fo
     sizes = stored(members.groupBy("key").agg(F.sum("weight").alias("size")), f"{folder}/sizes")
     texts = rows.select("number", F.col("row")[text_col].alias("body"))
     turns = iter(range(9))  # a folder for each time that texts are marked
-    sets = lambda m: shingle_sets(beside(texts, m.withColumn("number", F.col("node")), f"{folder}/marked-{next(turns)}"), settings)
+
+    def sets(m: DataFrame) -> DataFrame:
+        marks = m.select(*SET_COLUMNS).withColumn("number", F.col("node"))
+        return beside(texts, marks, f"{folder}/marked-{next(turns)}", shingle_sets(settings), f"key long, node long, tiles {dict(m.dtypes)['tiles']}, label long, payload binary")
+
     links = joined(members, sizes, sets, confirmed(settings), settings, f"{folder}/links")
 
     rooted = nodes.select("digest", "least", "node").join(links, F.col("node") == F.col("a"), "left").select("digest", "least", F.coalesce("b", "node").alias("root"))

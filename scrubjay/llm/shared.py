@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,18 +78,27 @@ def numbered(df: DataFrame, path: str) -> DataFrame:
     return stored(df.withColumn("number", F.monotonically_increasing_id()), path)
 
 
-def beside(rows: DataFrame, marks: DataFrame, folder: str) -> DataFrame:
+def beside(rows: DataFrame, marks: DataFrame, folder: str, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, schema: str | None = None) -> DataFrame:
     """Rows of a `numbered` table that marks has by `number`, with the columns of marks; rows are not shuffled.
 
     Marks, each number once at most, are dealt and written by the task that drew the numbers: a file's rows lie together, and so
-    do their marks, which a task reads when it meets the file's numbers. It holds one file's marks at a time.
+    do their marks, which a task reads when it meets the file's numbers. It holds one file's marks at a time. then, whose result has the
+    schema given, goes on with what was found in the same worker.
     """
     part = F.shiftright("number", WITHIN_TASK)
     marks.withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(folder)
     names = [c for c in marks.columns if c != "number"]
-    schema = StructType([*rows.schema.fields, *(marks.schema[c] for c in names)])
+    found_schema = StructType([*rows.schema.fields, *(marks.schema[c] for c in names)])
     at = rows.columns.index("number")
 
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, batch.num_rows * (4 << 20) // max(1, batch.nbytes))
+            for at_row in range(0, batch.num_rows, step):
+                yield batch.slice(at_row, step)
+            del batch
+            released()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs, parquet
 
@@ -104,7 +113,7 @@ def beside(rows: DataFrame, marks: DataFrame, folder: str) -> DataFrame:
                     tables.append(parquet.ParquetFile(file).read())
             return pa.concat_tables(tables).sort_by("number").combine_chunks() if tables else None
 
-        for batch in batches:
+        for batch in small(batches):
             numbers = batch.column(at).to_numpy()
             tasks = numbers >> WITHIN_TASK
             starts = np.flatnonzero(np.concatenate([[True], tasks[1:] != tasks[:-1]])) if len(numbers) else []
@@ -119,9 +128,9 @@ def beside(rows: DataFrame, marks: DataFrame, folder: str) -> DataFrame:
                 if hit.any():
                     own = batch.slice(s, e - s).filter(pa.array(hit))
                     more = held[1].take(pa.array(place[hit])).combine_chunks().to_batches()[0]
-                    yield pa.RecordBatch.from_arrays([*own.columns, *(more.column(c) for c in names)], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([*own.columns, *(more.column(c) for c in names)], names=found_schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow((lambda batches: then(run(batches))) if then else run, schema or found_schema)
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
