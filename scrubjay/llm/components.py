@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import removed, stored
+from .shared import released, removed, stored
 
 #: Edges that a task contracts at a time.
 LOCAL_EDGES = 500_000
@@ -48,38 +48,39 @@ class Forest:
         return members, [self.root(x) for x in members]
 
 
-def contracted(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) with the same components, at most one a node in each task's share."""
-    node = dict(edges.dtypes)["a"]
+def contraction(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From batches of edges (a, b) to edges with the same components, at most one a node in each LOCAL_EDGES."""
+    forest, kind = Forest(), None
+
+    def out() -> pa.RecordBatch:
+        members, roots = forest.edges()
+        return pa.RecordBatch.from_arrays([pa.array(members, kind), pa.array(roots, kind)], names=["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest()
-
-        def out() -> pa.RecordBatch:
-            members, roots = forest.edges()
-            return pa.RecordBatch.from_arrays([pa.array(members, kind), pa.array(roots, kind)], names=["a", "b"])
-
-        kind = None
-        for batch in batches:
-            kind = batch.schema.field(0).type
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                forest.link(a, b)
-            if len(forest.up) >= LOCAL_EDGES:
-                yield out()
-                forest = Forest()
-        if kind is not None and forest.up:
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            forest.link(a, b)
+        if len(forest.up) >= LOCAL_EDGES:
             yield out()
+            forest = Forest()
+    if kind is not None and forest.up:
+        yield out()
+    released()
 
-    return edges.where("a <> b").select("a", "b").mapInArrow(run, f"a {node}, b {node}")
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with the same components, at most one a node in each task's share."""
+    node = dict(edges.dtypes)["a"]
+    return edges.where("a <> b").select("a", "b").mapInArrow(contraction, f"a {node}, b {node}")
 
 
-def components(edges: DataFrame, folder: str, most_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, folder: str, most_rounds: int = 64, forests: bool = False) -> DataFrame:
     """(a, b): every node of the edges (a, b) but the smallest of its component, and that smallest.
 
-    The rounds needed grow with the logarithm of the longest path, so `most_rounds` is a guard against errors, no limit on data.
+    forests: each task's edges are contracted already. The rounds needed grow with the logarithm of the longest path, so `most_rounds` is a guard against errors, no limit on data.
     """
     spark = edges.sparkSession
-    now, before = stored(contracted(edges), f"{folder}/0"), None
+    now, before = stored(edges if forests else contracted(edges), f"{folder}/0"), None
     for k in range(1, most_rounds + 1):
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:

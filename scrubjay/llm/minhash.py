@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import Forest, components
+from .components import components, contraction
 from .shared import beside, numbered, removed, scratch, slices, stored, words_of
 
 
@@ -216,7 +216,7 @@ TILE = ("key", "x", "y", "side", "node", "label", "payload")
 
 
 def tiled_edges(tiles: DataFrame, kernel: Callable[[pa.Table, np.ndarray], tuple[list[int], list[int]]]) -> DataFrame:
-    """Edges (a, b) between nodes: what kernel finds in tables of whole tiles."""
+    """Edges (a, b) between nodes: what kernel finds in tables of whole tiles, a task's edges contracted by the worker that finds them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, at in grouped(slices(batches, len(TILE) - 1), 3):
@@ -225,7 +225,7 @@ def tiled_edges(tiles: DataFrame, kernel: Callable[[pa.Table, np.ndarray], tuple
                 nodes = table.column("node").combine_chunks()
                 yield pa.RecordBatch.from_arrays([nodes.take(pa.array(c, pa.int64())) for c in (a, b)], names=["a", "b"])
 
-    return tiles.select(*TILE).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "node").mapInArrow(run, "a long, b long")
+    return tiles.select(*TILE).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "node").mapInArrow(lambda batches: contraction(run(batches)), "a long, b long")
 
 
 def estimated(settings: Settings):
@@ -327,10 +327,10 @@ def joined(members: DataFrame, sizes: DataFrame, payloads: Callable[[DataFrame],
     exploded = lambda rows: rows.select("key", "node", "label", "payload", F.explode("tiles").alias("t")).select("key", "t.x", "t.y", "t.side", "node", "label", "payload")
     edges = tiled_edges(exploded(tiles), kernel)
     if not any_hot:
-        return components(edges, f"{folder}/whole")
+        return components(edges, f"{folder}/whole", forests=True)
 
     edges = stored(edges, f"{folder}/edges")
-    first = components(edges, f"{folder}/first").select(F.col("a").alias("of_node"), F.col("b").alias("root"))
+    first = components(edges, f"{folder}/first", forests=True).select(F.col("a").alias("of_node"), F.col("b").alias("root"))
     marked = crowd.join(first, F.col("node") == F.col("of_node"), "left").select("key", "node", "weight", F.coalesce("root", "node").alias("label"))
     marked = stored(marked, f"{folder}/marked")
     shares = marked.groupBy("key", "label").agg(F.sum("weight").alias("n"))
@@ -345,7 +345,7 @@ def joined(members: DataFrame, sizes: DataFrame, payloads: Callable[[DataFrame],
     with_others = F.transform(F.sequence(F.lit(0), F.col("ys") - 1), lambda k: tile(F.least(k, mine_y), F.greatest(k, mine_y), (mine_y > k).cast("int")))
     left = left.withColumn("tiles", F.when(F.col("label") == F.col("major"), of_major).otherwise(F.concat(with_major, with_others)))
     more = tiled_edges(exploded(payloads(left.select("key", "node", "tiles", "label"))), kernel)
-    out = components(edges.unionByName(more), f"{folder}/whole")
+    out = components(edges.unionByName(more), f"{folder}/whole", forests=True)
     removed(members.sparkSession, *(f"{folder}/{x}" for x in ("crowd", "anchors", "edges", "first", "marked", "still")))
     return out
 
