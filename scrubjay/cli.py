@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import sys
-from pathlib import Path
 
 from .functions.text import Options, changed, clean
 from .kernels.base import Policy
@@ -49,13 +48,13 @@ def run_files(spark, args) -> int:
 
 
 def run_text(spark, args) -> int:
-    from .sources.files import atomic_write
+    from .sources.files import atomic_write, read
 
     options = Options(args.keep_bidi, args.ascii_punct, args.normalize, args.strip_bom)
     names = [p for p in args.paths if p != "-"]
     status, rows = 0, []
     for k, name in enumerate(names or ["<stdin>"]):
-        raw = Path(name).read_bytes() if names else sys.stdin.buffer.read()
+        raw = read(name) if names else sys.stdin.buffer.read()
         try:
             rows.append((k, name, raw.decode(args.encoding)))
         except UnicodeDecodeError as exc:

@@ -1,4 +1,4 @@
-"""File inventories, contents and atomic writes."""
+"""File inventories, contents and atomic writes: local paths as such, addresses with a scheme through their own store."""
 
 from __future__ import annotations
 
@@ -6,36 +6,57 @@ import os
 import shutil
 import tempfile
 from collections.abc import Iterator
-from pathlib import Path
+from pathlib import Path, PurePosixPath
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.paths import SUFFIXES
+from . import stores
 
 INVENTORY = "base string, path string, dir string, name string, stem string, suffix string, ord long, error string"
 
 
-def rooted(paths: list[str], recursive: bool) -> Iterator[tuple[Path, Path, str | None]]:
+def rooted(paths: list[str], recursive: bool) -> Iterator[tuple[str, str, str | None]]:
     """(root, file, error): files as named, whatever their suffix; folders by suffix, sorted; what isn't there as an error."""
-    for given in map(Path, paths):
+    for address in paths:
+        if stores.is_address(address):
+            yield from stores.rooted(address, recursive)
+            continue
+        given = Path(address)
         if given.is_dir():
             inside = given.rglob("*") if recursive else given.iterdir()
             for child in sorted(inside):
                 if child.suffix.lower() in SUFFIXES and child.is_file():
-                    yield given, child, None
+                    yield str(given), str(child), None
         elif given.is_file():
-            yield given.parent, given, None
+            yield str(given.parent), str(given), None
         else:
-            yield given.parent, given, "no such file or directory"
+            yield str(given.parent), str(given), stores.ABSENT
+
+
+def named(path: str) -> tuple[str, str, str, str]:
+    """(folder, name, stem, suffix) of a path or an address."""
+    if stores.is_address(path):
+        folder, _, name = path.rpartition("/")
+        return folder, name, PurePosixPath(name).stem, PurePosixPath(name).suffix
+    local = Path(path)
+    return str(local.parent), local.name, local.stem, local.suffix
 
 
 def inventory(spark: SparkSession, paths: list[str], recursive: bool = False) -> DataFrame:
     """One row a file in visit order. Names are listed on the driver; no content is read."""
-    rows = [(str(root), str(f), str(f.parent), f.name, f.stem, f.suffix, k, error) for k, (root, f, error) in enumerate(rooted(paths, recursive))]
+    rows = [(root, f, *named(f), k, error) for k, (root, f, error) in enumerate(rooted(paths, recursive))]
     return spark.createDataFrame(rows, INVENTORY)
 
 
+def beside(folder: str) -> list[str]:
+    """The files in a folder, sorted; none where there is no such folder."""
+    if stores.is_address(folder):
+        return stores.names(folder)
+    return [str(p) for p in sorted(Path(folder).iterdir()) if p.is_file()] if Path(folder).is_dir() else []
+
+
 def siblings(spark: SparkSession, files: DataFrame) -> DataFrame:
     """Every name in the folders of the files: what manifests and their assets are looked for among."""
     folders = files.select("dir").distinct()
@@ -43,9 +64,10 @@ def siblings(spark: SparkSession, files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for folder in batch.column(0).to_pylist():
-                names = sorted(p for p in Path(folder).iterdir() if p.is_file()) if Path(folder).is_dir() else []
-                if names:
-                    yield pa.RecordBatch.from_pydict({"path": [str(p) for p in names], "dir": [folder] * len(names), "name": [p.name for p in names], "stem": [p.stem for p in names], "suffix": [p.suffix for p in names]})
+                found = beside(folder)
+                if found:
+                    _, names, stems, suffixes = zip(*map(named, found), strict=True)
+                    yield pa.RecordBatch.from_pydict({"path": found, "dir": [folder] * len(found), "name": names, "stem": stems, "suffix": suffixes})
 
     return folders.mapInArrow(run, "path string, dir string, name string, stem string, suffix string")
 
@@ -55,11 +77,15 @@ def real_paths(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([str(Path(p).resolve()) for p in batch.column(0).to_pylist()], pa.string())], names=["path", "real"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([stores.real(p) if stores.is_address(p) else str(Path(p).resolve()) for p in batch.column(0).to_pylist()], pa.string())], names=["path", "real"])
 
     return files.select("path").mapInArrow(run, "path string, real string")
 
 
+def read(path: str) -> bytes:
+    return stores.read(path) if stores.is_address(path) else Path(path).read_bytes()
+
+
 def with_content(files: DataFrame) -> DataFrame:
     """path, suffix, content, read where the task runs; an unreadable file has null content."""
 
@@ -67,7 +93,7 @@ def with_content(files: DataFrame) -> DataFrame:
         for batch in batches:
             for path, suffix in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    content = Path(path).read_bytes()
+                    content = read(path)
                 except OSError:
                     content = None
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([suffix]), pa.array([content], pa.binary())], names=["path", "suffix", "content"])
@@ -77,6 +103,8 @@ def with_content(files: DataFrame) -> DataFrame:
 
 def atomic_write(destination: str, data: bytes, mode_from: str | None = None) -> None:
     """Write beside the destination, then rename over it; nothing is left behind on failure."""
+    if stores.is_address(destination):
+        return stores.write(destination, data, mode_from)
     target = Path(destination)
     target.parent.mkdir(parents=True, exist_ok=True)
     handle, part = tempfile.mkstemp(prefix=f".{target.name}.", suffix=".tmp", dir=target.parent)

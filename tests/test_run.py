@@ -4,8 +4,9 @@ import stat
 
 from scrubjay.cli import main, parser
 from scrubjay.kernels.base import Policy
+from scrubjay.operators.scrub import scrub_rows
 from scrubjay.plans import run, samples
-from scrubjay.sources import files
+from scrubjay.sources import files, stores
 
 
 def tree(folder):
@@ -113,3 +114,62 @@ def test_dates_by_policy(spark, tmp_path):
     file.write_bytes(b"\\date{2024}\n")
     assert run.inspect(spark, [str(file)]).first().removals == []
     assert [r.where for r in run.inspect(spark, [str(file)], Policy(strip_dates=True)).first().removals] == ["\\date"]
+
+
+def test_addresses_give_what_paths_give(spark, tmp_path):
+    src, out = staged(tmp_path), tmp_path / "out"
+    (src / "a" / "odd name#%20.tex").write_bytes(b"\\author{Ann}\n")
+    at = f"file://{src}"
+    before = tree(src)
+    local, far = ({r.path.removeprefix("file://"): r.asDict(True) for r in run.inspect(spark, [p], recursive=True).collect()} for p in (str(src), at))
+    plain = lambda r: {k: str(v).replace("file://", "") for k, v in r.items()}
+    assert {k: plain(r) for k, r in local.items()} == {k: plain(r) for k, r in far.items()} and len(far) == 14
+    rows = {r.path: r for r in run.scrub(spark, [at], recursive=True, output_dir=f"file://{out}").collect()}
+    assert tree(src) == before and set(tree(out)) == {"photo.jpg", "doc.docx", "_hidden.tex", "a/intro.tex", "a/odd name#%20.tex", "b/intro.tex"}
+    assert rows[f"{at}/photo.jpg"].written == f"file://{out}/photo.jpg" and rows[f"{at}/signed.jpg"].written is None
+    assert run.inspect(spark, [f"{at}/none.tex"]).first().error == "no such file or directory"
+    assert run.inspect(spark, [f"{at}/a"]).count() == 2 and run.inspect(spark, [f"{at}/notes.txt"]).count() == 1
+
+
+def test_addresses_in_place(spark, tmp_path):
+    file, link = tmp_path / "a.tex", tmp_path / "link.tex"
+    file.write_bytes(b"\\author{Ann}\n")
+    os.chmod(file, 0o640)
+    link.symlink_to(file)
+    run.scrub(spark, [f"file://{link}"], in_place=True).collect()
+    assert link.is_symlink() and file.read_bytes() == b"\\author{}\n" and stat.S_IMODE(file.stat().st_mode) == 0o640
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.tex", "link.tex"]
+
+
+def test_stores_that_do_not_move_over_files(tmp_path, monkeypatch):
+    class Strict:
+        """A store over a folder that, like some, refuses to move over a file."""
+
+        def __init__(self):
+            self.inner = stores.fs.SubTreeFileSystem(str(tmp_path), stores.fs.LocalFileSystem())
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def move(self, a, b):
+            if self.inner.get_file_info(b).type != stores.fs.FileType.NotFound:
+                raise OSError("exists")
+            self.inner.move(a, b)
+
+    monkeypatch.setattr(stores, "opened", lambda prefix: (Strict(), "bucket"))
+    for data in (b"old", b"new"):
+        files.atomic_write("x://c@host/d/f.tex", data)
+        assert stores.read("x://c@host/d/f.tex") == data
+    assert [p.name for p in (tmp_path / "bucket" / "d").iterdir()] == ["f.tex"]
+    assert list(stores.rooted("x://c@host/d/", False)) == [("x://c@host/d", "x://c@host/d/f.tex", None)] and stores.names("x://c@host/none") == []
+    (tmp_path / "bucket" / "d" / "g").mkdir()
+    try:
+        files.atomic_write("x://c@host/d/g", b"data")
+        raise AssertionError("written over a folder")
+    except OSError:
+        assert sorted(p.name for p in (tmp_path / "bucket" / "d").iterdir()) == ["f.tex", "g"]
+
+
+def test_unreadable_files_are_no_clean_files(spark, tmp_path):
+    gone = spark.createDataFrame([(str(tmp_path / "x.tex"), ".tex"), ("file:///none/x.jpg", ".jpg")], "path string, suffix string")
+    assert all(r.error for r in scrub_rows(files.with_content(gone)).collect())
