@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..kernels.base import Policy
 from ..kernels.formats import Unsupported, facts_of, scrub
@@ -47,17 +48,22 @@ def scrubbed_bytes(data: bytes | None, kind: str | None, suffix: str, policy: Po
     return out.data if out.changed else None, [r._asdict() for r in out.removals], out.preserved, out.changed, None
 
 
-def scrub_rows(files: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """path, format, data, removals, preserved, changed, error of rows (path, suffix, content)."""
-    rows = with_format(files.select("path", "suffix", "content")).select("path", "suffix", "format", "content")
+def scrub_rows(files: DataFrame, policy: Policy = Policy(), along: str | None = None) -> DataFrame:
+    """path, format, data, removals, preserved, changed, error of rows (path, suffix, content).
+
+    along names a column that comes along, so what is known of a file needs no join with its contents.
+    """
+    more = [along] if along else []
+    rows = with_format(files.select("path", "suffix", "content", *more)).select("path", "suffix", "format", "content", *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in small(batches, 3):
             found = [scrubbed_bytes(d, k, s, policy) for s, k, d in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
             data, removals, preserved, changed, errors = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(data, pa.binary()), pa.array(removals, REMOVAL_TYPE), pa.array(preserved, pa.list_(pa.string())), pa.array(changed, pa.bool_()), pa.array(errors, pa.string())], names=["path", "format", "data", "removals", "preserved", "changed", "error"])
+            yield pa.RecordBatch.from_arrays([*part.columns[4:], part.column(0), part.column(2), pa.array(data, pa.binary()), pa.array(removals, REMOVAL_TYPE), pa.array(preserved, pa.list_(pa.string())), pa.array(changed, pa.bool_()), pa.array(errors, pa.string())], names=[*more, "path", "format", "data", "removals", "preserved", "changed", "error"])
 
-    return rows.mapInArrow(run, f"path string, format string, {SCRUBBED}")
+    schema = StructType([f for f in rows.schema if f.name in more])
+    return rows.mapInArrow(run, StructType([*schema, *StructType.fromDDL(f"path string, format string, {SCRUBBED}")]))
 
 
 def facts(files: DataFrame) -> DataFrame:

@@ -10,8 +10,9 @@ from pathlib import Path, PurePosixPath
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from ..functions.paths import SUFFIXES
+from ..functions.paths import MANIFEST_SUFFIX, SUFFIXES
 from . import stores
 
 INVENTORY = "base string, path string, dir string, name string, stem string, suffix string, ord long, error string"
@@ -86,19 +87,33 @@ def read(path: str) -> bytes:
     return stores.read(path) if stores.is_address(path) else Path(path).read_bytes()
 
 
+#: Names are dealt by number, for Spark weighs what it deals and a name tells nothing of what a task will read.
+FILES_A_TASK = 32
+
+
+def dealt(files: DataFrame, total: int) -> DataFrame:
+    """files in tasks of about FILES_A_TASK of `total` files."""
+    return files.repartition(max(1, -(-total // FILES_A_TASK)), "path")
+
+
 def with_content(files: DataFrame) -> DataFrame:
-    """path, suffix, content, read where the task runs; an unreadable file has null content."""
+    """files and their content, read where the task runs; an unreadable file has null content, and so has a detached manifest, which isn't read."""
+    paths, suffixes = files.columns.index("path"), files.columns.index("suffix")
+    schema = StructType([*files.schema, StructField("content", BinaryType())])
+
+    def content(path: str, suffix: str | None) -> bytes | None:
+        try:
+            return None if (suffix or "").lower() == MANIFEST_SUFFIX else read(path)
+        except OSError:
+            return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, suffix in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    content = read(path)
-                except OSError:
-                    content = None
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([suffix]), pa.array([content], pa.binary())], names=["path", "suffix", "content"])
-
-    return files.select("path", "suffix").mapInArrow(run, "path string, suffix string, content binary")
+            for i, (path, suffix) in enumerate(zip(batch.column(paths).to_pylist(), batch.column(suffixes).to_pylist(), strict=True)):
+                row = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([content(path, suffix)], pa.binary())], names=[*row.schema.names, "content"])
+
+    return files.mapInArrow(run, schema)
 
 
 def atomic_write(destination: str, data: bytes, mode_from: str | None = None) -> None:

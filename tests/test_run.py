@@ -173,3 +173,26 @@ def test_stores_that_do_not_move_over_files(tmp_path, monkeypatch):
 def test_unreadable_files_are_no_clean_files(spark, tmp_path):
     gone = spark.createDataFrame([(str(tmp_path / "x.tex"), ".tex"), ("file:///none/x.jpg", ".jpg")], "path string, suffix string")
     assert all(r.error for r in scrub_rows(files.with_content(gone)).collect())
+
+
+def test_contents_are_never_dealt_out(spark, tmp_path):
+    rows = run.inspect(spark, [str(staged(tmp_path))], recursive=True)
+    plan = rows._jdf.queryExecution().optimizedPlan()
+    moved = ("Join", "Repartition", "Aggregate", "Sort", "Window")
+
+    def nodes(plan):
+        yield plan
+        for k in range(plan.children().size()):
+            yield from nodes(plan.children().apply(k))
+
+    names = {n.nodeName(): n for n in nodes(plan)}
+    assert any(k.startswith("Join") for k in names) and "MapInArrow" in names
+    for n in nodes(plan):
+        if n.nodeName().startswith(moved):
+            columns = {n.output().apply(k).name() for k in range(n.output().size())}
+            assert not columns & {"content", "data"}, n.nodeName()
+
+
+def test_names_are_dealt_by_number(spark):
+    files_ = spark.range(100).selectExpr("CAST(id AS string) AS path", "'.tex' AS suffix")
+    assert files.dealt(files_, 100).rdd.getNumPartitions() == 4 and files.dealt(files_.limit(0), 0).count() == 0
