@@ -66,6 +66,12 @@ def scrub_rows(files: DataFrame, policy: Policy = Policy(), along: str | None =
     return rows.mapInArrow(run, StructType([*schema, *StructType.fromDDL(f"path string, format string, {SCRUBBED}")]))
 
 
+def scrubbed(files: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """path and content of rows (path, suffix, content) as they are after scrubbing; what did not change or could not be scrubbed is as it was."""
+    rows = scrub_rows(files.withColumn("old", F.col("content")), policy, "old")
+    return rows.select("path", F.coalesce("data", "old").alias("content"))
+
+
 def facts(files: DataFrame) -> DataFrame:
     """path, embedded, remote_url, unrecognized, signer of rows (path, suffix, content)."""
     from ..functions.provenance import SIGNER

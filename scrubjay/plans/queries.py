@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths, provenance
@@ -12,7 +12,7 @@ from ..functions import text as rules
 from ..functions.text import Options
 from ..kernels.base import Policy
 from ..operators import findings, gate, ranges, report, sniff
-from ..operators.scrub import REMOVALS, scrub_rows
+from ..operators.scrub import REMOVALS, scrub_rows, scrubbed
 from ..sources import units
 from . import oracles, recipes, samples
 
@@ -373,9 +373,7 @@ def part(k: int) -> str:
 
 @registered(f"SELECT 'f' || doc_id || '.tex' AS path, {recipes.tex_sql(True)} AS scrubbed FROM documents")
 def l_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = recipes.tex_files(spark, sf_dir)
-    out = scrub_rows(files).select(F.col("path").alias("of"), "data", "changed")
-    return files.join(out, F.col("path") == F.col("of")).select("path", F.decode(F.when(F.col("changed"), F.col("data")).otherwise(F.col("content")), "UTF-8").alias("scrubbed"))
+    return scrubbed(recipes.tex_files(spark, sf_dir)).select("path", F.decode("content", "UTF-8").alias("scrubbed"))
 
 
 def tex_removals(spark: SparkSession, sf_dir: str, policy: Policy = Policy()) -> DataFrame:
@@ -451,9 +449,7 @@ templated("l_dtx", ".dtx", DTX, DTX_DONE)
 
 @registered(f"SELECT 'f' || doc_id || '.bib' AS path, {recipes.bib_text(True, True)} AS scrubbed FROM documents")
 def b_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = recipes.bib_files(spark, sf_dir)
-    out = scrub_rows(files).select(F.col("path").alias("of"), "data", "changed")
-    return files.join(out, F.col("path") == F.col("of")).select("path", F.decode(F.when(F.col("changed"), F.col("data")).otherwise(F.col("content")), "UTF-8").alias("scrubbed"))
+    return scrubbed(recipes.bib_files(spark, sf_dir)).select("path", F.decode("content", "UTF-8").alias("scrubbed"))
 
 
 def has_field(k: int) -> str:
@@ -534,6 +530,49 @@ crafted("x_docx", "docx", f"SELECT doc_id, 'docx' AS format, concat_ws('; ', {DO
 crafted("x_docx_revisions", "docx", row_sql("docx", f"{DOCX_SQL}, {when(5, 'word/document.xml: 1 tracked-change author name(s) (anonymised)')}", "'word/media/a.bin'"), Policy(strip_revisions=True))
 
 
+def after(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return scrubbed(samples.files(recipes.documents(spark, sf_dir), kind))
+
+
+def own_id() -> Column:
+    return F.col("path").cast("long").alias("doc_id")
+
+
+@registered(
+    "SELECT doc_id, ifd, tag, value, sha256(unhex('FFDA00067363616E12FF0034') || encode(doc_id::VARCHAR) || unhex('FFD9')) AS scan_sha256 FROM documents, "
+    "(VALUES ('Exif', 33434, '010000003C000000'), ('IFD0', 274, '0600'), ('IFD0', 34665, NULL)) AS t(ifd, tag, value)"
+)
+def x_jpeg_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXIF entries that scrubbed files hold, and their picture, whose bytes are the last ones."""
+    files = after(spark, sf_dir, "jpeg")
+    tail = F.length("path") + F.lit(14)
+    scans = files.select("path", F.sha2(F.substring("content", F.length("content") - tail + 1, tail), 256).alias("scan_sha256"))
+    left = units.exif_entries(files).select("path", "ifd", "tag", F.when(F.col("tag") != 0x8769, F.hex("value")).alias("value"))
+    return left.join(scans, "path").select(own_id(), "ifd", "tag", "value", "scan_sha256")
+
+
+@registered(
+    "SELECT doc_id, seq, type, CASE type WHEN 'tEXt' THEN 'Title' || chr(0) || 'kept' WHEN 'tIME' THEN repeat(chr(0), 7) WHEN 'IEND' THEN '' END AS data FROM "
+    "(SELECT doc_id, type, (row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1)::INT AS seq FROM documents, "
+    "(VALUES (0, 'IHDR'), (1, 'tEXt'), (2, 'tIME'), (3, 'iTXt'), (4, 'eXIf'), (5, 'IDAT'), (6, 'IEND')) AS t(place, type) WHERE type <> 'tIME' OR doc_id % 3 = 0)"
+)
+def x_png_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that scrubbed files hold, in order."""
+    data = F.when(F.col("type").isin("tEXt", "tIME", "IEND"), F.decode("data", "ISO-8859-1"))
+    return units.png_chunks(after(spark, sf_dir, "png")).select(own_id(), "seq", "type", data.alias("data"))
+
+
+@registered(
+    "SELECT doc_id, entry, CASE entry WHEN '[Content_Types].xml' THEN '<Types/>' WHEN 'word/media/a.bin' THEN 'data ' || doc_id END AS text, entry = 'word/document.xml' AND doc_id % 5 = 0 AS named "
+    "FROM documents, (SELECT unnest(['[Content_Types].xml', 'docProps/core.xml', 'docProps/app.xml', 'word/settings.xml', 'word/document.xml', 'word/media/a.bin']) AS entry)"
+)
+def x_docx_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries that scrubbed files hold, and whether they still name anyone: changes do, which are only reported."""
+    body = F.decode("payload", "UTF-8")
+    text = F.when(F.col("entry").isin("[Content_Types].xml", "word/media/a.bin"), body)
+    return units.zip_entries(after(spark, sf_dir, "docx")).select(own_id(), "entry", text.alias("text"), body.rlike("Annie|Firmco|w:rsidRoot").alias("named"))
+
+
 @registered("SELECT type, sum(n)::BIGINT AS n FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS type, {n} AS n FROM documents" for t, n in (("IHDR", "1"), ("IDAT", "1"), ("IEND", "1"), ("tEXt", "1 + (doc_id % 2 = 0)::INT"), ("iTXt", "1"), ("eXIf", "1"), ("tIME", "(doc_id % 3 = 0)::INT"))) + ") GROUP BY type")
 def x_png_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.png_chunks(samples.files(recipes.documents(spark, sf_dir), "png")).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
