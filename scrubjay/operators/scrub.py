@@ -17,6 +17,9 @@ REMOVALS = "array<struct<where:string,what:string,detail:string,applied:boolean>
 SCRUBBED = f"data binary, removals {REMOVALS}, preserved array<string>, changed boolean, error string"
 REMOVAL_TYPE = pa.list_(pa.struct([("where", pa.string()), ("what", pa.string()), ("detail", pa.string()), ("applied", pa.bool_())]))
 BATCH_BYTES = 8 << 20
+#: Larger files are reported, not read: a row's bytes, old and new, must fit in a worker, and 2 GiB is what a row can hold at all.
+MOST_BYTES = 512 << 20
+UNREAD = f"not read: missing, not permitted, or of more than {MOST_BYTES >> 20} MiB"
 
 
 def small(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
@@ -39,8 +42,10 @@ def with_format(files: DataFrame) -> DataFrame:
 
 def scrubbed_bytes(data: bytes | None, kind: str | None, suffix: str, policy: Policy) -> tuple:
     """(data, removals, preserved, changed, error); data is null unless it changed."""
+    if data is None:
+        return None, [], [], False, UNREAD
     try:
-        out = scrub(data or b"", kind, suffix or "", policy)
+        out = scrub(data, kind, suffix or "", policy)
     except Unsupported as exc:
         return None, [], [], False, str(exc)
     except Exception as exc:

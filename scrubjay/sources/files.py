@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..functions.paths import MANIFEST_SUFFIX, SUFFIXES
+from ..operators.scrub import MOST_BYTES
 from . import stores
 
 INVENTORY = "base string, path string, dir string, name string, stem string, suffix string, ord long, error string"
@@ -83,7 +84,11 @@ def real_paths(files: DataFrame) -> DataFrame:
     return files.select("path").mapInArrow(run, "path string, real string")
 
 
-def read(path: str) -> bytes:
+def read(path: str, most: int | None = None) -> bytes:
+    """The bytes of a file; one of more than `most` is an OSError."""
+    size = 0 if most is None else stores.size(path) if stores.is_address(path) else os.path.getsize(path)
+    if most is not None and size > most:
+        raise OSError(f"{path} has {size} bytes")
     return stores.read(path) if stores.is_address(path) else Path(path).read_bytes()
 
 
@@ -96,14 +101,17 @@ def dealt(files: DataFrame, total: int) -> DataFrame:
     return files.repartition(max(1, -(-total // FILES_A_TASK)), "path")
 
 
-def with_content(files: DataFrame) -> DataFrame:
-    """files and their content, read where the task runs; an unreadable file has null content, and so has a detached manifest, which isn't read."""
+def with_content(files: DataFrame, most: int = MOST_BYTES) -> DataFrame:
+    """files and their content, read where the task runs.
+
+    Null is the content of a file that can't be read or has more than `most` bytes, and of a detached manifest, which isn't read.
+    """
     paths, suffixes = files.columns.index("path"), files.columns.index("suffix")
     schema = StructType([*files.schema, StructField("content", BinaryType())])
 
     def content(path: str, suffix: str | None) -> bytes | None:
         try:
-            return None if (suffix or "").lower() == MANIFEST_SUFFIX else read(path)
+            return None if (suffix or "").lower() == MANIFEST_SUFFIX else read(path, most)
         except OSError:
             return None
 

@@ -90,6 +90,11 @@ def real(address: str) -> str:
     return place.address(os.path.realpath(place.path)) if place.on_disk else address
 
 
+def size(address: str) -> int:
+    place = located(address)
+    return place.system.get_file_info(place.path).size or 0
+
+
 def read(address: str) -> bytes:
     place = located(address)
     with place.system.open_input_stream(place.path) as stream:

@@ -172,7 +172,15 @@ def test_stores_that_do_not_move_over_files(tmp_path, monkeypatch):
 
 def test_unreadable_files_are_no_clean_files(spark, tmp_path):
     gone = spark.createDataFrame([(str(tmp_path / "x.tex"), ".tex"), ("file:///none/x.jpg", ".jpg")], "path string, suffix string")
-    assert all(r.error for r in scrub_rows(files.with_content(gone)).collect())
+    assert all(r.error.startswith("not read") for r in scrub_rows(files.with_content(gone)).collect())
+
+
+def test_files_too_large_are_reported(spark, tmp_path):
+    file = tmp_path / "x.tex"
+    file.write_bytes(b"\\author{Ann}\n")
+    rows = spark.createDataFrame([(str(file), ".tex"), (f"file://{file}", ".tex")], "path string, suffix string")
+    assert all(r.error.startswith("not read") and r.data is None for r in scrub_rows(files.with_content(rows, 12)).collect())
+    assert all(r.data == b"\\author{}\n" for r in scrub_rows(files.with_content(rows, 13)).collect())
 
 
 def test_contents_are_never_dealt_out(spark, tmp_path):
