@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +14,9 @@ from ..functions.text import Options
 from ..kernels.base import Policy
 from ..operators import findings, gate, ranges, report, sniff
 from ..operators.scrub import REMOVALS, scrub_rows, scrubbed
-from ..sources import units
-from . import oracles, recipes, samples
+from ..session import scratch
+from ..sources import files, units
+from . import oracles, recipes, run, samples
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -606,3 +608,44 @@ def x_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = facts(samples.files(recipes.documents(spark, sf_dir), "credentials"))
     state = F.when(F.col("embedded"), "embedded").when(F.col("remote_url").isNotNull(), F.concat(F.lit("remote "), "remote_url")).when(F.col("unrecognized").isNotNull(), "unrecognized").otherwise("none")
     return rows.select(F.col("path").cast("long").alias("doc_id"), state.alias("state"))
+
+
+# Whole runs over files on disk
+
+TREE_SQL = (
+    f"WITH files AS (SELECT doc_id, (doc_id % 7) || '/f' || doc_id || '.tex' AS path, doc_id % 5 = 0 AS signed, false AS manifest, {recipes.tex_sql(False)} AS raw, {recipes.tex_sql(True)} AS clean FROM documents "
+    "UNION ALL SELECT doc_id, (doc_id % 7) || '/f' || doc_id || '.c2pa', true, true, '', '' FROM documents WHERE doc_id % 5 = 0) "
+    "SELECT row_number() OVER (ORDER BY path) - 1 AS ord, path, CASE WHEN manifest THEN 'refuse_is_manifest' WHEN signed THEN 'refuse' ELSE 'scrub_freely' END AS disposition, {column} FROM files"
+)
+
+
+def planted(spark: SparkSession, sf_dir: str) -> str:
+    """A folder whose folder `in` holds a TeX file a document, in seven folders, and a manifest beside each fifth."""
+    folder = re.sub(r"^([a-z0-9]+):/(?!/)", r"\1:///", scratch(spark, "tree"))
+    rows = recipes.tex_files(spark, sf_dir).withColumn("doc_id", F.regexp_extract("path", r"\d+", 0).cast("long"))
+    place = lambda suffix: F.concat(F.lit(f"{folder}/in/"), F.col("doc_id") % 7, F.lit("/f"), F.col("doc_id"), F.lit(suffix)).alias("destination")
+    manifests = rows.where(F.col("doc_id") % 5 == 0).select("path", place(".c2pa"), F.encode(F.lit("manifest"), "UTF-8").alias("data"))
+    files.write_rows(rows.select("path", place(".tex"), F.col("content").alias("data")).unionByName(manifests)).write.format("noop").mode("overwrite").save()
+    return folder
+
+
+def below(folder: str) -> Column:
+    return F.substring("path", len(folder) + 5, 2**30).alias("path")
+
+
+@registered(TREE_SQL.replace("{column}", "NOT manifest AND raw <> clean AS found"))
+def p_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What inspecting a folder says of every file in it, in the order of a visit."""
+    folder = planted(spark, sf_dir)
+    rows = run.inspect(spark, [f"{folder}/in"], recursive=True)
+    changing = F.exists("removals", lambda r: ~r["what"].like("references%") & (r["what"] != "absolute path"))
+    return rows.select("ord", below(folder), "disposition", changing.alias("found"))
+
+
+@registered(TREE_SQL.replace("{column}", "CASE WHEN NOT signed AND raw <> clean THEN clean END AS scrubbed"))
+def p_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scrubbing a folder into another: every file's outcome, and the text that was written."""
+    folder = planted(spark, sf_dir)
+    rows = run.scrub(spark, [f"{folder}/in"], recursive=True, output_dir=f"{folder}/out")
+    named = rows.select("ord", below(folder).alias("of"), "disposition", F.coalesce("written", F.lit(f"{folder}/none")).alias("path"), F.lit(".tex").alias("suffix"))
+    return files.with_content(named).select("ord", F.col("of").alias("path"), "disposition", F.decode("content", "UTF-8").alias("scrubbed"))
