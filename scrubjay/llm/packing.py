@@ -180,7 +180,7 @@ def tokenised(docs: DataFrame, settings: Settings, id_col: str, text_col: str) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_ids = WordIds(settings.tokenizer_path)
         end = np.array([settings.end_id], "<u4").tobytes()
-        for part in slices(batches, 2, 6 << 20):
+        for part in slices(batches, 2, 2 << 20):
             rows, codes, words = words_of(part.column(2))
             flat, offsets = word_ids(words)
             ids, ends = gathered(flat, offsets, codes)
