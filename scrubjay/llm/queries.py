@@ -105,7 +105,7 @@ NEAR = minhash.Settings(shingle=4)
 
 def op9_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.classes(spark, table(spark, sf_dir, "documents"), NEAR)
-    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op10_tar_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,3 +139,14 @@ def test_whole_table(spark, sf_dir):
     got = queries.op9_bbit_minhash(spark, sf_dir).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == by_hand(rows, 4)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_query_has_the_columns_of_its_sql(spark, sf_dir):
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = db.execute(queries.OP9_SQL)
+    names = [d[0] for d in want.description]
+    got = queries.op9_bbit_minhash(spark, sf_dir)
+    assert got.columns == names and sorted(map(tuple, got.collect())) == sorted(want.fetchall())
