@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrubjay.llm import langid, minhash, packing, queries, robust_outliers
-from scrubjay.llm.shared import scratch, stored
+from scrubjay.llm.shared import scratch, small_batches, stored
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what is in a known language. The model is fitted on the documents given, held-out ones aside."""
+    small_batches(spark)
     model = langid.train(docs.where(~queries.held_out(F.col("doc_id"))))
     # Whole rows travel through the prediction, so no row is joined or shuffled.
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
@@ -25,11 +26,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each class, one of its smallest id. Rows are told apart by their own numbers, whatever their ids."""
+    small_batches(spark)
     return minhash.unique(spark, docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 4096 tokens."""
+    small_batches(spark)
     pieces = packing.pack(docs, packing.Settings(queries.tokenizer_path("word_bpe_49k.json")))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -53,6 +53,17 @@ def released() -> None:
         pass  # another C library
 
 
+def small_batches(spark: SparkSession, limit: int = 1 << 20) -> None:
+    """From now on the session hands rows to Python workers in batches of about `limit` bytes, one row at least.
+
+    Else a batch may have 64 MB, which the executor and the worker both hold, some in two copies, for each task. A limit that was set
+    before holds. It stays set, for a query runs after the function that makes it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(limit))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about `limit` bytes of the given column, one row at least."""
     for batch in batches:

@@ -56,3 +56,23 @@ def test_unknown_languages_go_and_mixed_texts_stay(spark, sf_dir):
     extra = spark.createDataFrame([(i, t, None, "s") for i, t in {**gone, **stay}.items()], docs.schema)
     kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs.unionByName(extra), sf_dir).collect()}
     assert not kept & gone.keys() and stay.keys() <= kept and len(kept) == docs.where(F.col("text").rlike(r"\p{L}")).count() + len(stay)
+
+
+def test_python_workers_get_small_batches(spark, sf_dir):
+    """Texts of 16 MB in one task: no batch of a stage's session has more than 1 MiB and a row, unless a limit was set before."""
+    import pyarrow as pa
+
+    def bytes_of(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["n"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for own in (None, str(4 << 20)):
+        for stage in ("language", "near_duplicates", "packing"):
+            fresh = spark.newSession()
+            if own:
+                fresh.conf.set(name, own)
+            docs = fresh.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.col("id").cast("string"), F.lit(" word ")), 400).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+            dict(corpus_pipeline.STAGES)[stage](fresh, docs.limit(0), sf_dir)
+            most = max(r.n for r in docs.mapInArrow(bytes_of, "n long").collect())
+            assert most <= (int(own) if own else 1 << 20) + (64 << 10) and (own is None or most > 1 << 21), stage
