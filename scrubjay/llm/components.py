@@ -1,5 +1,9 @@
 """Connected components by alternating large-star and small-star steps, DataFrames only but for a local first contraction.
 
+A round deals all edges out several times, which costs as many tasks for few edges as for many. So what fits within `FEW_EDGES`, at
+the start or after a round, is contracted by the tasks that read it and then by one; the bound holds whatever the size of the input, and
+larger graphs go on in rounds.
+
 A hub's edges meet a table of one row a node in each join. That table is stored first, so both sides of the join are plain
 shuffles (or the small one is broadcast), and the adaptive skew join deals a hub's edges to many tasks.
 """
@@ -17,6 +21,9 @@ from .shared import released, removed, stored
 #: Edges that a task contracts at a time.
 LOCAL_EDGES = 500_000
 
+#: Edges that are left to one task: less work than the tasks of a round are to start. At most LOCAL_EDGES, so that it contracts them at a time.
+FEW_EDGES = 1 << 17
+
 
 class Forest:
     """Union-find whose roots are the smallest members."""
@@ -74,10 +81,10 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select("a", "b").mapInArrow(contraction, f"a {node}, b {node}")
 
 
-def components(edges: DataFrame, folder: str, most_rounds: int = 64, forests: bool = False) -> DataFrame:
+def components(edges: DataFrame, folder: str, most_rounds: int = 64, forests: bool = False, few: int = FEW_EDGES) -> DataFrame:
     """(a, b): every node of the edges (a, b) but the smallest of its component, and that smallest.
 
-    forests: each task's edges are contracted already. The rounds needed grow with the logarithm of the longest path, so `most_rounds` is a guard against errors, no limit on data.
+    forests: each task's edges are contracted already. few: so many edges are left to one task. The rounds needed grow with the logarithm of the longest path, so `most_rounds` is a guard against errors, no limit on data.
     """
     spark = edges.sparkSession
     now, before = stored(edges if forests else contracted(edges), f"{folder}/0"), None
@@ -85,6 +92,10 @@ def components(edges: DataFrame, folder: str, most_rounds: int = 64, forests: bo
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break
+        if state[0] <= min(few, LOCAL_EDGES):
+            now = stored(contracted(contracted(now).repartition(1)), f"{folder}/{k}")
+            removed(spark, f"{folder}/{k - 1}")
+            break
         before = state
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m")).select("of", F.least("of", "m").alias("m"))

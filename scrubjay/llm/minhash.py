@@ -329,14 +329,18 @@ def joined(members: DataFrame, sizes: DataFrame, payloads: Callable[[DataFrame],
     if not any_hot:
         return components(edges, f"{folder}/whole", forests=True)
 
-    edges = stored(edges, f"{folder}/edges")
-    first = components(edges, f"{folder}/first", forests=True).select(F.col("a").alias("of_node"), F.col("b").alias("root"))
-    marked = crowd.join(first, F.col("node") == F.col("of_node"), "left").select("key", "node", "weight", F.coalesce("root", "node").alias("label"))
+    first = components(edges, f"{folder}/first", forests=True)
+    roots = first.select(F.col("a").alias("of_node"), F.col("b").alias("root"))
+    marked = crowd.join(roots, F.col("node") == F.col("of_node"), "left").select("key", "node", "weight", F.coalesce("root", "node").alias("label"))
     marked = stored(marked, f"{folder}/marked")
     shares = marked.groupBy("key", "label").agg(F.sum("weight").alias("n"))
     still = shares.groupBy(F.col("key").alias("of_key")).agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
     xs, ys = blocks_for(F.col("most.n"), settings.block), blocks_for(F.col("size") - F.col("most.n"), settings.block)
     still = stored(still.select("of_key", F.col("most.label").alias("major"), xs.alias("xs"), ys.alias("ys")), f"{folder}/still")
+    if still.isEmpty():  # every group is one component
+        removed(members.sparkSession, *(f"{folder}/{x}" for x in ("crowd", "anchors", "marked", "still")))
+        return first
+
     left = marked.join(still, F.col("key") == F.col("of_key"))
     mine_x, mine_y = block_of(F.col("node"), F.col("xs")), block_of(F.col("node"), F.col("ys"))
     # Tiles of the largest component with the others bear x >= 0 and y < 0; tiles among the others x <= y, both from 0.
@@ -345,8 +349,9 @@ def joined(members: DataFrame, sizes: DataFrame, payloads: Callable[[DataFrame],
     with_others = F.transform(F.sequence(F.lit(0), F.col("ys") - 1), lambda k: tile(F.least(k, mine_y), F.greatest(k, mine_y), (mine_y > k).cast("int")))
     left = left.withColumn("tiles", F.when(F.col("label") == F.col("major"), of_major).otherwise(F.concat(with_major, with_others)))
     more = tiled_edges(exploded(payloads(left.select("key", "node", "tiles", "label"))), kernel)
-    out = components(edges.unionByName(more), f"{folder}/whole", forests=True)
-    removed(members.sparkSession, *(f"{folder}/{x}" for x in ("crowd", "anchors", "edges", "first", "marked", "still")))
+    more = stored(more, f"{folder}/more")
+    out = first if more.isEmpty() else components(first.unionByName(more), f"{folder}/whole", forests=True)
+    removed(members.sparkSession, *(f"{folder}/{x}" for x in ("crowd", "anchors", "marked", "still", "more") + (() if out is first else ("first",))))
     return out
 
 

@@ -1,4 +1,5 @@
 import re
+import uuid
 
 import numpy as np
 import pytest
@@ -134,6 +135,66 @@ def test_components(spark, scratch_dir):
     assert {r.a: r.b for r in got} == want and len(got) == len(want)
 
 
+def tasks_of(spark, run):
+    """(result, number of tasks) of what run starts."""
+    group = f"tasks-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return out, sum(i.numTasks for s in stages if (i := tracker.getStageInfo(s)))
+
+
+def graph_and_classes():
+    """Paths, hubs from above and below and a random graph; its nodes but the roots, with their roots."""
+    rng = np.random.default_rng(8)
+    pairs = [(i, i + 1) for i in range(150)] + [(200, k) for k in range(201, 260)] + [(400, k) for k in range(300, 360)] + [tuple(map(int, rng.integers(600, 900, 2))) for _ in range(200)]
+    forest = components.Forest()
+    for a, b in pairs:
+        forest.link(a, b)
+    return pairs, {m: r for m, r in zip(*forest.edges()) if m != r}
+
+
+def test_few_edges_cost_few_tasks(spark, scratch_dir):
+    """With many partitions, the rounds would deal a small graph out to thousands of tasks."""
+    pairs, want = graph_and_classes()
+    names = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in names}
+    df = spark.createDataFrame(pairs, "a long, b long").repartition(7)
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        got, tasks = tasks_of(spark, lambda: components.components(df, f"{scratch_dir}/few").collect())
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert {r.a: r.b for r in got} == want and len(got) == len(want)
+    assert 0 < tasks < 97
+
+
+@pytest.mark.parametrize("few", [0, 250])
+def test_components_in_rounds(spark, scratch_dir, few):
+    """Rounds to the end, and rounds as long as there are more edges than are left to one task."""
+    pairs, want = graph_and_classes()
+    got = components.components(spark.createDataFrame(pairs, "a long, b long").repartition(40), f"{scratch_dir}/rounds-{few}", few=few).collect()
+    assert {r.a: r.b for r in got} == want and len(got) == len(want)
+
+
+def test_hot_group_of_one_component_reads_texts_once(spark, monkeypatch):
+    """Where the anchors join all of a group, no second pass over it follows; where they don't, it does."""
+    base = [f"w{k}" for k in range(100)]
+    passes = []
+    sets = minhash.shingle_sets
+    monkeypatch.setattr(minhash, "shingle_sets", lambda settings: passes.append(1) or sets(settings))
+    rows = [(i, " ".join([*base, f"end{i}"])) for i in range(60)]
+    settings = SETTINGS._replace(block=16)
+    got = minhash.classes(spark, spark.createDataFrame(rows, "doc_id long, text string"), settings).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == by_hand(rows, 4) and len(passes) == 1
+
+
 def test_whole_table(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = queries.op9_bbit_minhash(spark, sf_dir).collect()
