@@ -12,19 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import removed, scratch  # noqa: F401  (the operators take them from here)
+from ..session import removed, scratch, small_batches, stored  # noqa: F401  (the operators take them from here)
 
 #: Java form of one word; white space is U+0020 and U+0009 to U+000D only.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 SPACE_PATTERN = "[\\x20\\x09-\\x0D]"
 
 
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """Write df as Parquet under the shared root and read it back, which cuts its lineage."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def file_system(uri: str):
     """(pyarrow file system, path) of a folder or file under the shared root, usable from a Python worker."""
     from pyarrow import fs
@@ -53,17 +47,6 @@ def released() -> None:
         pass  # another C library
 
 
-def small_batches(spark: SparkSession, limit: int = 1 << 20) -> None:
-    """From now on the session hands rows to Python workers in batches of about `limit` bytes, one row at least.
-
-    Else a batch may have 64 MB, which the executor and the worker both hold, some in two copies, for each task. A limit that was set
-    before holds. It stays set, for a query runs after the function that makes it.
-    """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, None) is None:
-        spark.conf.set(name, str(limit))
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about `limit` bytes of the given column, one row at least."""
     for batch in batches:

@@ -204,3 +204,39 @@ def test_contents_are_never_dealt_out(spark, tmp_path):
 def test_names_are_dealt_by_number(spark):
     files_ = spark.range(100).selectExpr("CAST(id AS string) AS path", "'.tex' AS suffix")
     assert files.dealt(files_, 100).rdd.getNumPartitions() == 4 and files.dealt(files_.limit(0), 0).count() == 0
+
+
+def test_many_small_files_share_tasks_and_batches(spark, tmp_path):
+    files_ = spark.range(100).selectExpr("CAST(id AS string) AS path", "'.tex' AS suffix")
+    assert files.dealt(files_, 100_000).rdd.getNumPartitions() == 32 and files.dealt(files_, 10_000_000).rdd.getNumPartitions() == 1221
+    for i in range(100):
+        (tmp_path / f"{i}.tex").write_bytes(b"x" * i)
+    names = spark.createDataFrame([(str(tmp_path / f"{i}.tex"), ".tex") for i in range(100)], "path string, suffix string").coalesce(1)
+    batches = files.with_content(names).mapInArrow(lambda bs: (b.select(["path"]).slice(0, 1) for b in bs), "path string")
+    assert batches.count() == 1 and {len(r.content) for r in files.with_content(names).collect()} == set(range(100))
+
+
+def test_folders_are_listed_as_pathlib_does(tmp_path):
+    for name in ("b/x.tex", "b.c/x.tex", "b/a.TEX", "a b/.tex", "a b/..jpg", "a b/x.", "a b/x.y.bib", "a b/sub/deep.png", "z.c2pa"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    (tmp_path / "through").symlink_to(tmp_path / "b")
+    (tmp_path / "file.tex").symlink_to(tmp_path / "b/x.tex")
+    (tmp_path / "broken.tex").symlink_to(tmp_path / "none")
+    (tmp_path / "loop.tex").symlink_to(tmp_path / "loop.tex")
+    for recursive in (True, False):
+        wanted = [str(p) for p in sorted(tmp_path.rglob("*") if recursive else tmp_path.iterdir()) if p.suffix.lower() in files.SUFFIXES and p.is_file()]
+        assert [f for _, f, _ in files.rooted([str(tmp_path)], recursive)] == wanted
+    for p in [*tmp_path.rglob("*"), *map(files.Path, ("/x.tex", "x.tex", "a/.b", "a/b.c.d"))]:
+        assert files.named(str(p)) == (str(p.parent), p.name, p.stem, p.suffix)
+
+
+def test_failed_writes_to_addresses_leave_nothing_behind(tmp_path):
+    (tmp_path / "d" / "g").mkdir(parents=True)
+    try:
+        files.atomic_write(f"file://{tmp_path}/d/g", b"data")
+        raise AssertionError("written over a folder")
+    except OSError:
+        assert [p.name for p in (tmp_path / "d").iterdir()] == ["g"]
+    files.atomic_write(f"file://{tmp_path}/new/er/x", b"data" * 100_000)
+    assert (tmp_path / "new/er/x").read_bytes() == b"data" * 100_000
