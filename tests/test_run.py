@@ -240,3 +240,12 @@ def test_failed_writes_to_addresses_leave_nothing_behind(tmp_path):
         assert [p.name for p in (tmp_path / "d").iterdir()] == ["g"]
     files.atomic_write(f"file://{tmp_path}/new/er/x", b"data" * 100_000)
     assert (tmp_path / "new/er/x").read_bytes() == b"data" * 100_000
+
+
+def test_names_are_listed_once_and_stored(spark, tmp_path):
+    (tmp_path / "a.tex").write_bytes(b"x")
+    listed = files.inventory(spark, [str(tmp_path)])
+    around = files.siblings(spark, listed)
+    assert listed.inputFiles() and around.inputFiles()
+    (tmp_path / "b.tex").write_bytes(b"x")
+    assert listed.count() == around.count() == 1 and files.inventory(spark, []).count() == 0
