@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,17 +44,19 @@ def removed(text: Column, options: Options) -> Column:
     return bound(once(text), once) if options.settle else once(text)
 
 
-def normal_form(text: Column, form: str) -> Column:
-    """A Unicode normal form. Spark has no such function, so texts go through Arrow; ASCII ones don't need to."""
-    form = form.upper()
-    if form not in ("NFC", "NFD", "NFKC", "NFKD"):
-        raise ValueError(f"no normal form: {form}")
+#: The normal forms as static methods of the ICU library, which Spark brings along for its collations.
+FORMS = {"NFC": ("compose", False), "NFD": ("decompose", False), "NFKC": ("compose", True), "NFKD": ("decompose", True)}
 
-    @F.pandas_udf("string")
-    def normalised(texts: pd.Series) -> pd.Series:
-        return texts.str.normalize(form)
 
-    return normalised(text)
+def normal_form(text: Column, form: str) -> Column:
+    """A Unicode normal form, without Python. Spark has no such function, and calls others without knowing that they are pure: in a join's
+    condition or inside an aggregate function, give it a column of its own first."""
+    if form.upper() not in FORMS:
+        raise ValueError(f"no normal form: {form}")
+    method, compatible = FORMS[form.upper()]
+    out = F.try_reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit(method), text, F.lit(compatible))
+    # Null where the library fails, as it does for null only; the text is looked at again in that case alone.
+    return F.coalesce(out, F.when(text.isNotNull(), F.raise_error(F.lit(f"no {form} of a text")).cast("string")))
 
 
 def clean(text: Column | str, options: Options = Options()) -> Column:

@@ -109,3 +109,15 @@ def test_clean_stays_in_one_stage(spark, sf_dir):
 
     plan = recipes.noisy(spark, sf_dir).select(text.clean("text"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_normal_forms_need_no_python(spark):
+    """A worker would hold whole batches of texts in Python strings, several times over."""
+    texts = ["\u1112\u1161\u11ab \u212b e\u0301\u0327", "\ufb01\U0001d15e\u0344\u00bd", "", "plain", "\u0958\x00\u0f73 " * 2000, None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for form in ("nfc", "nfd", "nfkc", "nfkd"):
+        done = rows.select("t", text.clean("t", Options(normalize=form)).alias("x"))
+        assert "Python" not in done._jdf.queryExecution().executedPlan().toString()
+        assert all(r.x == (None if r.t is None else unicodedata.normalize(form.upper(), r.t)) for r in done.collect())
+    grouped = spark.createDataFrame([("\u00e9",), ("e\u0301",), (None,)], "t string").groupBy(text.clean("t", Options(normalize="nfc")).alias("x")).count()
+    assert {r.x: r["count"] for r in grouped.collect()} == {"\u00e9": 2, None: 1}
