@@ -11,24 +11,26 @@ from pyspark.sql.types import StructType
 
 from ..kernels.base import Policy
 from ..kernels.formats import Unsupported, facts_of, scrub
+from ..session import small_batches
 from . import sniff
 
 REMOVALS = "array<struct<where:string,what:string,detail:string,applied:boolean>>"
 SCRUBBED = f"data binary, removals {REMOVALS}, preserved array<string>, changed boolean, error string"
 REMOVAL_TYPE = pa.list_(pa.struct([("where", pa.string()), ("what", pa.string()), ("detail", pa.string()), ("applied", pa.bool_())]))
-BATCH_BYTES = 8 << 20
+#: A worker holds so much at once, with what is found in it; of small files, the findings take more room than the bytes.
+BATCH_BYTES, BATCH_ROWS = 1 << 20, 256
 #: Larger files are reported, not read: a row's bytes, old and new, must fit in a worker, and 2 GiB is what a row can hold at all.
 MOST_BYTES = 512 << 20
 UNREAD = f"not read: missing, not permitted, or of more than {MOST_BYTES >> 20} MiB"
 
 
 def small(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """Slices of about BATCH_BYTES of one column, a row at least."""
+    """Slices of about BATCH_BYTES of one column and at most BATCH_ROWS, a row at least."""
     for batch in batches:
         start, held = 0, 0
         for i, value in enumerate(batch.column(column)):
             size = value.as_buffer().size if value.is_valid else 0
-            if i > start and held + size > BATCH_BYTES:
+            if i > start and (held + size > BATCH_BYTES or i - start == BATCH_ROWS):
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += size
@@ -67,6 +69,7 @@ def scrub_rows(files: DataFrame, policy: Policy = Policy(), along: str | None =
             data, removals, preserved, changed, errors = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([*part.columns[4:], part.column(0), part.column(2), pa.array(data, pa.binary()), pa.array(removals, REMOVAL_TYPE), pa.array(preserved, pa.list_(pa.string())), pa.array(changed, pa.bool_()), pa.array(errors, pa.string())], names=[*more, "path", "format", "data", "removals", "preserved", "changed", "error"])
 
+    small_batches(files.sparkSession)
     schema = StructType([f for f in rows.schema if f.name in more])
     return rows.mapInArrow(run, StructType([*schema, *StructType.fromDDL(f"path string, format string, {SCRUBBED}")]))
 
@@ -88,5 +91,6 @@ def facts(files: DataFrame) -> DataFrame:
             found = [facts_of(d or b"", k) for k, d in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f.embedded for f in found], pa.bool_()), pa.array([f.remote_url for f in found], pa.string()), pa.array([f.unrecognized for f in found], pa.string())], names=["path", "embedded", "remote_url", "unrecognized"])
 
+    small_batches(files.sparkSession)
     # Without an SDK that reads manifests, who signed is not known.
     return rows.mapInArrow(run, "path string, embedded boolean, remote_url string, unrecognized string").withColumn("signer", F.lit(None).cast(SIGNER))

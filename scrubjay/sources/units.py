@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..kernels import bib, exif, images, tex, xmp
 from ..kernels.base import Malformed
 from ..operators.scrub import small
+from ..session import small_batches
 
 
 def exploded(files: DataFrame, parts: Callable[[bytes], Iterator[tuple]], columns: str) -> DataFrame:
@@ -36,6 +37,7 @@ def exploded(files: DataFrame, parts: Callable[[bytes], Iterator[tuple]], column
             columns_ = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns_, [pa.string(), pa.int32(), *types, pa.string()], strict=True)], names=names)
 
+    small_batches(files.sparkSession)
     return files.select("path", "content").mapInArrow(run, schema)
 
 

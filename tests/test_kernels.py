@@ -191,3 +191,26 @@ def test_label_across_blocks_of_an_entry(monkeypatch):
                 with zipfile.ZipFile(made, "w") as z:
                     z.writestr("a", payload)
                 assert formats.archive_has_label(made.getvalue()) == want == formats.box_with_label(payload), (block, before)
+
+
+def test_small_files_come_in_few_rows_at_once():
+    """Findings about small files take more room than their bytes, so bytes alone are no bound of a worker's memory."""
+    import pyarrow as pa
+
+    from scrubjay.operators.scrub import BATCH_BYTES, BATCH_ROWS, small
+
+    data = [b"x"] * 1000 + [b"y" * (BATCH_BYTES // 2 + 1)] * 3 + [None]
+    parts = list(small(iter([pa.RecordBatch.from_arrays([pa.array(data, pa.binary())], names=["content"])]), 0))
+    assert max(p.num_rows for p in parts) <= BATCH_ROWS <= 512 and BATCH_BYTES <= 2 << 20
+    assert [v for p in parts for v in p.column(0).to_pylist()] == data and [p.num_rows for p in parts[-2:]] == [1, 2]
+
+
+def test_kernels_get_small_batches(spark, sf_dir):
+    """Once the query is made, the session's batches have a limit in bytes."""
+    from scrubjay.plans import queries
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for query in ("x_png_bytes", "x_docx", "l_revisions", "x_xmp"):
+        spark.conf.unset(name)
+        queries.QUERIES[query](spark, sf_dir)
+        assert int(spark.conf.get(name)) <= 1 << 20
